@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from quireloom.llm import names
+from quireloom.llm import boilerplate, confusables, names
+
+
+_P4 = r"""WITH s AS (SELECT document_id, block_id, text, lower(regexp_replace(regexp_extract(source_filename, '^[^_]*_(.+)_[^_]*$', 1), '[^\p{L}\p{N}]', '', 'g')) AS source FROM blocks),
+l AS (SELECT DISTINCT document_id, block_id, source, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM s WHERE text IS NOT NULL),
+k AS (SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS canon FROM l),
+n AS (SELECT source, count(DISTINCT document_id) AS n_all FROM s GROUP BY 1),
+r AS (SELECT k.source, canon FROM k JOIN n USING (source) WHERE canon <> '' GROUP BY k.source, canon, n_all HAVING count(DISTINCT document_id) >= 3 AND count(DISTINCT document_id) * 10 >= 3 * n_all) """
+P4_FOUND = _P4 + "SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN r USING (source, canon)"
+P4_CLEAN = _P4 + """SELECT document_id, block_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text FROM (SELECT DISTINCT document_id, block_id, text FROM blocks) b
+LEFT JOIN (SELECT document_id, block_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM k WHERE (source, canon) NOT IN (SELECT (source, canon) FROM r) GROUP BY 1, 2) c USING (document_id, block_id)"""
+
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_FULL = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_SURE, _TO = "".join(confusables.SURE), "".join(confusables.SURE.values())
+P5_FOUND = rf"""WITH t AS (SELECT 'words' AS record_table, word_id AS record_id, text FROM words UNION SELECT 'queries', query_id, ticker FROM queries),
+a AS (SELECT *, regexp_replace(regexp_replace(text, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{206F}}\x{{FEFF}}]', '', 'g'), '\p{{Zs}}', ' ', 'g') AS u FROM t WHERE regexp_matches(text, '[^ -~]')),
+b AS (SELECT *, nfc_normalize(translate(replace(replace(replace(replace(replace(u, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_WIDE}', '{_FULL}')) AS v FROM a),
+c AS (SELECT *, CASE WHEN regexp_replace(regexp_replace(v, '[{_SURE}ї]', '', 'g'), '[\P{{L}}\p{{Latin}}]', '', 'g') = '' THEN nfc_normalize(translate(v, '{_SURE}ї', '{_TO}ï')) ELSE v END AS w FROM b)
+SELECT DISTINCT record_table, record_id, w AS plain_text FROM c WHERE w <> text"""
 
 
 def queries() -> dict:
-    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities}
+    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities, "p4_found": boilerplate.p4_found, "p4_clean": boilerplate.p4_clean, "p5_found": confusables.p5_found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p5_found": P5_FOUND}
