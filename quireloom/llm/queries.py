@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireloom.llm import boilerplate, bpe, confusables, names, packing, spam
+from quireloom.llm import boilerplate, bpe, confusables, names, packing, pii, spam
 
 
 _P4 = r"""WITH s AS (SELECT document_id, block_id, text, lower(regexp_replace(regexp_extract(source_filename, '^[^_]*_(.+)_[^_]*$', 1), '[^\p{L}\p{N}]', '', 'g')) AS source FROM blocks),
@@ -25,7 +25,7 @@ SELECT DISTINCT record_table, record_id, w AS plain_text FROM c WHERE w <> text"
 
 
 def queries() -> dict:
-    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities, "p4_found": boilerplate.p4_found, "p4_clean": boilerplate.p4_clean, "p5_found": confusables.p5_found, "p7_ids": bpe.p7_ids, "p8_containers": packing.p8_containers, "p8_fill": packing.p8_fill, "p9_found": spam.p9_found}
+    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities, "p4_found": boilerplate.p4_found, "p4_clean": boilerplate.p4_clean, "p5_found": confusables.p5_found, "p6_found": pii.p6_found, "p6_clean": pii.p6_clean, "p7_ids": bpe.p7_ids, "p8_containers": packing.p8_containers, "p8_fill": packing.p8_fill, "p9_found": spam.p9_found}
 
 
 def oracle_sql() -> dict:
