@@ -36,6 +36,11 @@ QUALIFIERS = [
     ("adjusted", r"\b(?:adjusted|adj)\b"), ("diluted", r"\bdiluted\b"), ("reported", r"\b(?:reported|rep)\b"), ("restated", r"\brestated\b"), ("stated", r"\bstated\b"), ("ordinary", r"\b(?:ordinary|ord)\b"),
     ("basic", r"\bbasic\b"), ("organic", r"\borganic\b"), ("underlying", r"\bunderlying\b"), ("recurring", r"\brecurring\b"), ("normalized", r"\b(?:normalised|normalized)\b"), ("clean", r"\bclean\b"),
 ]
+# Beginnings of the names above; only at these words a name can start.
+METRIC_START = (
+    r"\b(?:target|price|fair|TP|PO|EBITDA|EBIT|operating|gross|net|earnings|EPS|reinsurance|revenue|sales|turnover|pre|profit|PBT|tax|effective|NII|trading|insurance|other|total|investment|interest|labou?r|depreciation|"
+    r"loan|risk|cost|extraordinary|BV|TE|tangible|return|ROE|due|customer|CET1|free|FCF|capital|capex|dividend|DPS|combined|COR|new|contractual|CSM|shareholders|solvency)"
+)
 PERIOD = (
     r"\b(?:0?[1-9]|1[0-2])/\d{2}[Ee]?\b|\b(?:[1-4]Q|Q[1-4])\s*(?:20\d{2}|\d{2})[Ee]?\b|\b(?:[12]H|H[12])\s*(?:20\d{2}|\d{2})[Ee]?\b|"
     r"(?<![\d/.,])\b(?:(?:FY|CY)\s*)?(?:20\d{2}|\d{2})[Ee]?\b(?![\d/%.,])"
@@ -68,14 +73,13 @@ def qualifier_names(text: Column) -> Column:
 
 def nearest_metric(text: Column, position: Column) -> Column:
     """struct<metric, qualifiers> of the metric whose name starts nearest to the position (the earlier on ties); qualifiers from around it."""
-    anywhere = "|".join(f"(?:{p})" for _, p in METRICS)
-    at_word = lambda s: F.regexp_extract(F.substring(text, s["s"] + 1, F.lit(80)), f"(?iUd)^(?:{anywhere})", 0)
-    words = F.filter(spans(text, r"(?Ud)\w+"), lambda s: at_word(s) != "")
-    near = F.array_min(F.transform(words, lambda s: F.struct(F.abs(s["s"] - position).alias("d"), s["s"].alias("s"))))
+    anywhere = "(?iUd)^(?:" + "|".join(f"(?:{p})" for _, p in METRICS) + ")"
+    named = F.transform(spans(text, ci(METRIC_START)), lambda s: F.struct(F.abs(s["s"] - position).alias("d"), s["s"].alias("s"), F.regexp_extract(F.substring(text, s["s"] + 1, F.lit(80)), anywhere, 0).alias("m")))
+    near = F.array_min(F.filter(named, lambda s: s["m"] != ""))
+
     def read(n: Column) -> Column:
-        m = F.regexp_extract(F.substring(text, n["s"] + 1, F.lit(80)), f"(?iUd)^(?:{anywhere})", 0)
-        around = F.substring(text, F.greatest(n["s"] - 50, F.lit(0)) + 1, F.least(n["s"], F.lit(50)) + F.length(m) + 30)
-        return F.struct(metric_name(m).alias("metric"), qualifier_names(around).alias("qualifiers"))
+        around = F.substring(text, F.greatest(n["s"] - 50, F.lit(0)) + 1, F.least(n["s"], F.lit(50)) + F.length(n["m"]) + 30)
+        return F.struct(metric_name(n["m"]).alias("metric"), qualifier_names(around).alias("qualifiers"))
 
     return let(near, lambda n: F.when(n.isNotNull(), read(n)))
 
