@@ -78,7 +78,8 @@ def save_index(df: DataFrame, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     df = spark.read.schema(f"{schema}, schema_version int").json(path)
-    return df.withColumn("schema_version", F.when(F.col("schema_version") == 1, F.lit(1)).otherwise(F.raise_error(F.lit("unknown schema version")).cast("int"))).drop("schema_version")
+    fine = F.when(F.col("schema_version") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("unknown schema version")).cast("boolean"))
+    return df.where(fine).drop("schema_version")
 
 
 def semantic_input(raw: DataFrame, column: str, schema: str) -> DataFrame:
