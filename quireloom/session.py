@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,32 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this package, once a session, by Spark's own file server.
+
+    The archive lies in the shared folder of spark.checkpoint.dir where that is
+    a path of a file system mounted here; else the driver keeps it for itself.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quireloom_shipped", False):
+        return spark
+    package = pathlib.Path(__file__).parent
+    shared = sc.getConf().get("spark.checkpoint.dir") or ""
+    folder = shared.removeprefix("file://") if shared.startswith(("/", "file:///")) else ""
+    try:
+        if folder:
+            pathlib.Path(folder).mkdir(parents=True, exist_ok=True)
+    except OSError:
+        folder = ""
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="quireloom-", dir=folder or None)) / "quireloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._quireloom_shipped = True
     return spark
 
 
