@@ -44,7 +44,9 @@ NICKNAMES = {
     "chris": "christopher", "kit": "christopher", "sam": "samantha", "tom": "thomas", "nick": "nicholas", "ben": "benjamin", "pat": "patricia", "trish": "patricia", "jen": "jennifer",
     "jenny": "jennifer", "sue": "susan", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "vicky": "victoria", "tina": "bettina", "dimi": "dimitrios", "fran": "francesca",
     "matt": "matthias", "gabi": "gabriele", "memo": "guillermo", "beppe": "giuseppe", "lou": "ludovic",
+    "cesca": "francesca", "jo": "johannes", "ludo": "ludovic", "ali": "alison", "dan": "daniel", "dave": "david", "greg": "gregory", "jack": "john", "joe": "joseph", "larry": "lawrence", "len": "leonard", "lex": "alexander", "marty": "martin", "phil": "philip", "ray": "raymond", "ron": "ronald", "steve": "stephen", "tim": "timothy", "wendy": "gwendolyn",
 }
+ALSO_SHORT_FOR = {"ola": "aleksandra", "sandy": "aleksandra", "alex": "aleksandra", "sasha": "alexander", "anne": "anna", "jo": "joanna", "sam": "samuel", "chris": "christina", "pat": "patrick"}
 HOUSE_WORDS = {
     "securities": ["sec", "secs"], "research": ["res", "rsch"], "bank": ["bk", "bnk", "bank"], "capital": ["cap"], "markets": ["mkts", "mkt"], "partners": ["ptnrs", "prtnrs"],
     "group": ["gp", "grp"], "equities": ["eq", "eqs"], "brokerage": ["brok", "brkrg"], "investment": ["inv"], "company": ["co"],
@@ -215,7 +217,7 @@ def _relate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if rel is None and same_type and not r.short_a and not r.short_b and len(f1[i].split(" ")) == len(f2[i].split(" ")) and (f1[i] == f2[i] or near_f[i]):
                     rel = "same"
             elif not r.short_a and not r.short_b:
-                same_f, same_g = f1[i] == f2[i], g1[i] == g2[i]
+                same_f, same_g = f1[i] == f2[i], g1[i] == g2[i] or ALSO_SHORT_FOR.get(r.given_a) == g2[i] or ALSO_SHORT_FOR.get(r.given_b) == g1[i]
                 if same_f and (same_g or shared) or not against and (same_f and near_g[i] or same_g and near_f[i]):
                     rel = "same"
             elif r.short_a != r.short_b:
