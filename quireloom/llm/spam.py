@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -46,6 +47,39 @@ _ITEM = re.compile(r'^\s*["\']([^"\':{}\[\]]+)["\'],?\s*$')
 _CODE = re.compile(r"[{};=<>\\$^*`]|\w\(|\)\s*$|:\s*$|\w\.\w+\(|^\s*[\w-]+:\s|^\s*#\w|^\s*(?:def|class|import|return|func|var|let|const|if|for|while|package|end)\b|[A-Za-z0-9+/]{32,}")
 
 
+@lru_cache(200_000)
+def line_words(raw: str) -> tuple[float, float, float, tuple[str, ...]]:
+    """What a line adds to list_words; many lines stand in many documents."""
+    total = listed = tagged = 0.0
+    out: list[str] = []
+    item = _ITEM.match(raw)
+    line = item[1] if item else _COMMENT.sub("", _COMMENT.sub("", raw))
+    links = _LINK.findall(line) if "://" in line or "www." in line else []
+    rest = _LINK.sub(" ", line) if links else line
+    tags = _TAG.findall(rest)
+    if len(tags) >= 3 or tags and "#" in rest and 2 * len(tags) >= len(rest.split()):
+        out.extend(w for t in tags for w in _WORD.findall(t.lower()))
+        tagged = 2.0 * len(tags)
+        listed += tagged
+        total += tagged
+        rest = _TAG.sub(" ", rest)
+    ws = _WORD.findall(rest.lower())
+    near_links = len(ws) <= 4 * len(links)
+    total += len(ws) + 2 * len(links)
+    if near_links:
+        listed += 2 * len(links)
+    if ws and links and near_links:
+        listed += len(ws)
+        out.extend(ws)
+    elif ws and (len(ws) >= 4 or item and len(ws) >= 2):
+        function = sum(w in FUNCTION_WORDS for w in ws) / len(ws)
+        sentence = function >= 0.2 or function >= 0.1 and rest.rstrip().endswith((".", "!", "?"))
+        if not sentence and not _CODE.search(rest) and 4 * sum(map(str.isdigit, rest)) <= len(rest):
+            listed += len(ws)
+            out.extend(ws)
+    return total, listed, tagged, tuple(out)
+
+
 def list_words(text: str) -> tuple[float, float, float, list[str]]:
     """(all words, words in lists, of them in tags, the list words in order); links and tags count as two words."""
     total, listed, tagged, out = 0.0, 0.0, 0.0, []
@@ -64,32 +98,9 @@ def list_words(text: str) -> tuple[float, float, float, list[str]]:
         body = re.sub(r"<(script|style)\b.*?</\1>", lambda m: "\n" + m[0].replace("<", "{") + "\n", body, flags=re.S | re.I)
         body = html.unescape(re.sub(r"<[^>]*>", "\n", body))
     for raw in body.split("\n"):
-        item = _ITEM.match(raw)
-        line = item[1] if item else _COMMENT.sub("", _COMMENT.sub("", raw))
-        links = _LINK.findall(line)
-        rest = _LINK.sub(" ", line)
-        tags = _TAG.findall(rest)
-        if len(tags) >= 3 or tags and "#" in rest and 2 * len(tags) >= len(rest.split()):
-            out.extend(w for t in tags for w in _WORD.findall(t.lower()))
-            listed += 2 * len(tags)
-            total += 2 * len(tags)
-            tagged += 2 * len(tags)
-            rest = _TAG.sub(" ", rest)
-        ws = _WORD.findall(rest.lower())
-        total += len(ws) + 2 * len(links)
-        listed += 2 * len(links) if len(ws) <= 4 * len(links) else 0
-        if not ws:
-            continue
-        if links and len(ws) <= 4 * len(links):
-            listed += len(ws)
-            out.extend(ws)
-            continue
-        function = sum(w in FUNCTION_WORDS for w in ws) / len(ws)
-        sentence = function >= 0.2 or function >= 0.1 and rest.rstrip().endswith((".", "!", "?"))
-        code = bool(_CODE.search(rest)) or 4 * sum(c.isdigit() for c in rest) > len(rest)
-        if not code and not sentence and (len(ws) >= 4 or item and len(ws) >= 2):
-            listed += len(ws)
-            out.extend(ws)
+        t, n, g, ws = line_words(raw)
+        total, listed, tagged = total + t, listed + n, tagged + g
+        out.extend(ws)
     return total, listed, tagged, out
 
 
