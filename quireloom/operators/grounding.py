@@ -95,3 +95,34 @@ def validate_claims(claims: DataFrame, key: list[str], blocks: DataFrame, text:
     ok = supported(F.col("said"), F.col("evidence")) & (F.size("ids") > 0)
     problems = F.array_compact(F.array(F.when(F.col("dropped"), "invented_or_unselected_block_id_removed"), F.when(F.col("said").isNull(), "malformed_grounded_claim_removed").when(~ok, "unsupported_claim_removed")))
     return c.withColumns({"valid": ok & F.col("said").isNotNull(), "own_confidence": F.when(ok, confidence(F.col("said"), F.col("evidence"), F.size("ids"))), "problems": problems})
+
+
+# Words that the definition of a common short form must have.
+JARGON = {
+    "eps": ["earnings", "share"], "ebit": ["earnings", "interest", "tax"], "ebitda": ["earnings", "interest", "tax", "depreciation", "amortization"], "nii": ["net", "interest", "income"],
+    "fcf": ["free", "cash", "flow"], "capex": ["capital", "expenditure"], "cet1": ["common", "equity", "tier"],
+}
+
+
+def jargon_supported(term: Column, definition: Column, evidence: Column) -> Column:
+    """The term stands in the evidence, and its definition has the words it must have or is given there explicitly."""
+    bare = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(TOKEN), 1), F.lower))
+    t, words = F.lower(term), bare(definition)
+    must = F.coalesce(*[F.when(t == k, F.array(*[F.lit(w) for w in v])) for k, v in JARGON.items()])
+    quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
+    explicit = F.rlike(evidence, F.concat(F.lit(r"(?is)\b"), quoted, F.lit(r"\b.{0,30}\b(?:means|defined as|refers to)\b")))
+    given = explicit & (F.size(F.array_intersect(words, bare(evidence))) >= needed(F.size(words)))
+    return F.coalesce(F.contains(F.lower(evidence), t) & F.when(must.isNotNull(), F.size(F.array_except(must, words)) == 0).otherwise(given), F.lit(False))
+
+
+def person_supported(name: Column, evidence: Column) -> Column:
+    """The name stands literally in evidence that speaks of a meeting with the management."""
+    from quireloom.operators.passages import MANAGEMENT
+
+    return F.coalesce((F.length(F.trim(name)) > 0) & F.contains(evidence, F.trim(name)) & evidence.rlike(f"(?is)(?:{MANAGEMENT})"), F.lit(False))
+
+
+def supported_items(items: Column, evidence: Column, allowed: Column) -> Column:
+    """The items that are allowed and whose words, underscores as blanks, stand in the evidence; in order, each once."""
+    low = F.lower(evidence)
+    return F.array_distinct(F.filter(items, lambda x: F.array_contains(allowed, x) & F.contains(low, F.lower(F.replace(x, F.lit("_"), F.lit(" "))))))

@@ -133,6 +133,17 @@ def driver_links(spark: SparkSession, d: str) -> DataFrame:
     return e.select("driver_id", F.col("causal_link").alias("stated_link"), G.causal_link(F.col("driver"), F.col("evidence"), F.col("causal_link")).alias("link"), G.supported(F.col("driver"), F.col("evidence")).alias("supported"))
 
 
+def driver_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each driver's metrics and periods that its document revises and its evidence names, and how many were dropped."""
+    c = table(spark, d, "drivers").dropDuplicates(["driver_id"]).select("driver_id", "document_id", "impacted_metrics", "fiscal_periods", "evidence_block_ids")
+    r = _revisions(spark, d).groupBy("document_id").agg(F.collect_set("metric").alias("doc_metrics"), F.collect_set("fiscal_period").alias("doc_periods"))
+    e = G.cited_evidence(c, ["driver_id"], table(spark, d, "blocks")).join(r, "document_id", "left")
+    kept = lambda items, allowed: F.coalesce(G.supported_items(F.col(items), F.col("evidence"), F.col(allowed)), F.array().cast("array<string>"))
+    m, p = kept("impacted_metrics", "doc_metrics"), kept("fiscal_periods", "doc_periods")
+    n = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0))
+    return e.select("driver_id", F.array_join(m, "|").alias("metrics"), F.array_join(p, "|").alias("periods"), (F.greatest(n("impacted_metrics"), F.lit(0)) - F.size(m)).alias("n_metrics_dropped"))
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return C.resolve_requests(table(spark, d, "citation_requests").dropDuplicates(["request_id"]), table(spark, d, "blocks"))
 
@@ -177,7 +188,7 @@ def report_title(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     fs = [revision_arithmetic, reconcile_tolerance, conflict_flag, revision_summary, unexplained_revisions, question_groups, brief_rows_topk, estimate_bars, consensus_unique_join, candidate_blocks, text_revisions, revision_recall, revision_statuses, context_signals, passage_score,
-          passage_budget, semantic_tokens, claim_support, driver_links, citation_requests_status, citation_build, citation_dedup, claim_bindings, citation_stale, highlight_boxes, contact_extract, publication_date, report_title]
+          passage_budget, semantic_tokens, claim_support, driver_links, driver_items, citation_requests_status, citation_build, citation_dedup, claim_bindings, citation_stale, highlight_boxes, contact_extract, publication_date, report_title]
     return {f.__name__: f for f in fs}
 
 

@@ -134,3 +134,13 @@ def test_bars(spark):
 @pytest.mark.parametrize(("v", "want"), [("1234.5", "1,234"), ("12.50", "12.5"), ("1.255", "1.25"), ("0.5", "0.5"), ("0", "0"), ("0.00123", "0.0012"), ("100", "100"), ("20", "20")])
 def test_number_text(spark, v, want):
     assert one(spark, S.number_text(F.lit(Decimal(v)))) in (want, want.replace("1.25", "1.26"))
+
+
+def test_jargon_people_items(spark):
+    j = lambda t, d, e: one(spark, G.jargon_supported(F.lit(t), F.lit(d), F.lit(e)))
+    assert j("EPS", "earnings per share", "our EPS rose") and not j("EPS", "earnings", "our EPS rose") and not j("EPS", "earnings per share", "none")
+    assert j("NPS", "net promoter score", "NPS means the net promoter score") and not j("NPS", "net promoter score", "NPS rose")
+    p = lambda n, e: one(spark, G.person_supported(F.lit(n), F.lit(e)))
+    assert p("Jane Roe", "We met with management, including Jane Roe.") and not p("Jane Roe", "Jane Roe wrote.") and not p("", "We met with management")
+    df = spark.createDataFrame([(["ebit_margin", "eps", "eps", "sales"], "The EBIT margin and EPS", ["ebit_margin", "eps"])], "i array<string>, e string, a array<string>")
+    assert df.select(G.supported_items(F.col("i"), F.col("e"), F.col("a")).alias("x")).collect()[0].x == ["ebit_margin", "eps"]
