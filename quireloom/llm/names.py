@@ -195,8 +195,7 @@ def _relate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near_f, near_g = one_letter_apart(f1, f2), one_letter_apart(g1, g2)
         ratio = lcs_ratio([f"{g} {f}" for g, f in zip(g1, f1, strict=True)], [f"{g} {f}" for g, f in zip(g2, f2, strict=True)])
         out = []
-        for i in range(len(b)):
-            r = b.iloc[i]
+        for i, r in enumerate(b.itertuples(index=False)):
             shared = bool(e1[i] & e2[i])
             against = bool(e1[i]) and bool(e2[i]) and not shared
             same_type = not t1[i] or not t2[i] or t1[i] == t2[i]
