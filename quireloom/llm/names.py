@@ -9,10 +9,9 @@ if that is one entity; else the one that shares an e-mail address, else the
 best supported.
 
 Blocks: all suffixes of at least MIN_SUFFIX letters of each token and of the
-reversed token. A suffix of more than COMMON forms isn't dropped: it is first
-refined by the other field (initial of the given name, type of the house), and
-what is then still common by the one-letter deletions of the token, which keeps
-every pair of that block that differs in one letter.
+reversed token. A suffix of more than COMMON forms isn't dropped: its forms get
+keys for each rule of _relate instead (one-letter deletions of the one field
+with what the rule asks of the other), which keep every pair that is linked.
 
 Nulls and cells without a letter stand for nobody and give no row; repeated
 rows count as support only; one spelling alone gives no pair.
@@ -23,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -160,27 +160,64 @@ def forms(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.select("kind", "spelling", "form"), cut(f)
 
 
-def block_keys(f: DataFrame) -> DataFrame:
-    """(form, key): the suffix index, refined where a suffix is common."""
+def _map(pairs: dict[str, str], c: str) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), F.col(c))
+
+
+def deletions(t: Column) -> Column:
+    """The text and what is left of it without one letter: texts one letter apart share one of them."""
+    n = F.length(t)
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n))))
+
+
+def exact_keys(f: DataFrame) -> DataFrame:
+    """(form, key, hub): any two forms that _relate may link without an address share a key where one of them at least is no hub."""
+    tokens = F.split("family", " ")
+    letters = lambda t: F.array_join(F.array_sort(F.split(t, "")), "")
+    prefixes = lambda t: F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(F.lit(MIN_SUFFIX), F.length(t))), lambda n: F.substring(t, F.lit(1), n))
+    x = f.withColumn("root", F.coalesce(_map(NICKNAMES, "given"), "given")).withColumn("also", _map(ALSO_SHORT_FOR, "given"))
+    people, houses = x.where("kind <> 'broker'"), x.where("kind = 'broker'")
+    whole, full = people.where("NOT short"), houses.where("NOT short")
+    word = houses.where(F.col("short") & (F.size(tokens) == 1))
+
+    def keys(y: DataFrame, name: str, within: Column | str, each: Column, hub: Column | bool = False) -> DataFrame:
+        k = y.select("form", "kind", F.col(within).alias("within") if isinstance(within, str) else within.alias("within"), F.explode(each).alias("part"), (F.lit(hub) if isinstance(hub, bool) else hub).alias("hub"))
+        return k.select("form", F.concat_ws("#", F.lit(name), "kind", "within", "part").alias("key"), "hub")
+
+    near, none = deletions(F.col("family")), F.lit("")
+    return reduce(DataFrame.unionByName, [
+        keys(whole, "given", "root", near), keys(whole.where("also IS NOT NULL"), "given", "also", near),  # one given name, families one letter apart
+        keys(whole, "family", "family", deletions(F.col("root"))),  # one family, given names one letter apart
+        keys(people, "initial", F.substring("root", 1, 1), near, ~F.col("short")),  # initials, and families alone, with what they shorten
+        keys(full, "house", none, near),
+        keys(full, "word", none, F.flatten(F.transform(tokens, deletions)), F.size(tokens) > 1),  # one word of several
+        keys(full, "first", none, F.flatten(F.transform(tokens, prefixes)), True), keys(word.where(F.length("family") >= 3), "first", none, F.array("family")),  # first letters of a word
+        keys(full.where(F.size(tokens) > 1), "letters", none, F.array(letters(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""))), True), keys(word, "letters", none, F.array(letters(F.col("family")))),
+    ])
+
+
+def address_keys(f: DataFrame) -> DataFrame:
+    """(form, key, hub) of people with addresses: one address and families one letter apart."""
+    k = f.where("kind <> 'broker'").select("form", "family", F.explode("emails").alias("email")).select("form", "email", F.explode(deletions(F.col("family"))).alias("part"))
+    return k.select("form", F.concat_ws("#", F.lit("address"), "email", "part").alias("key"), F.lit(False).alias("hub"))
+
+
+def blocks(f: DataFrame) -> DataFrame:
+    """(form, key, hub): the suffix index, and the exact keys of the forms that have a common suffix. Two hubs of a key needn't be compared."""
     tokens = F.split("family", " ")
     suffixes = lambda t: F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(F.lit(MIN_SUFFIX), F.length(t))), lambda n: F.substring(t, -F.least(n, F.length(t)), F.length(t)))
-    rows = f.select("form", "kind", F.coalesce(F.nullif(F.substring("given", 1, 1), F.lit("")), F.col("type")).alias("other"), F.explode(tokens).alias("token"))
+    rows = f.select("form", "kind", F.explode(tokens).alias("token"))
     both = F.concat(F.transform(suffixes(F.col("token")), lambda s: F.concat(F.lit("s:"), s)), F.transform(suffixes(F.reverse("token")), lambda s: F.concat(F.lit("p:"), s)))
-    k = rows.withColumn("key", F.explode(F.array_distinct(both))).withColumn("key", F.concat_ws(":", "kind", "key"))
+    k = rows.withColumn("key", F.explode(F.array_distinct(both))).select("form", F.concat_ws(":", "kind", "key").alias("key"))
     initials = f.where((F.col("kind") == "broker") & (F.size(tokens) > 1)).select("form", F.explode(F.array(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""), F.reverse(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")))).alias("key"))
     initials = initials.unionByName(f.where((F.col("kind") == "broker") & F.col("short")).select("form", F.col("family").alias("key"))).withColumn("key", F.concat(F.lit("broker:i:"), "key"))
+    sized = k.join(k.groupBy("key").agg(F.countDistinct("form").alias("size")), "key")
+    few, many = sized.where(F.col("size") <= COMMON).select("form", "key"), sized.where(F.col("size") > COMMON).select("form").distinct()
+    return few.unionByName(initials).distinct().withColumn("hub", F.lit(False)).unionByName(exact_keys(f.join(many, "form", "left_semi")))
 
-    def common(x: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = x.groupBy("key").agg(F.countDistinct("form").alias("size"))
-        y = x.join(sizes, "key")
-        return y.where(F.col("size") <= COMMON).drop("size"), y.where(F.col("size") > COMMON).drop("size")
 
-    few, many = common(k)
-    few2, many2 = common(many.withColumn("key", F.concat_ws("#", "key", "other")))
-    n = F.length("token")
-    drop1 = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, n)))
-    exact = many2.withColumn("key", F.explode(F.array_distinct(drop1))).withColumn("key", F.concat_ws("#", F.lit("d"), "kind", "other", "key"))
-    return few.select("form", "key").unionByName(few2.select("form", "key")).unionByName(exact.select("form", "key")).unionByName(initials).distinct()
+def block_keys(f: DataFrame) -> DataFrame:
+    return blocks(f).select("form", "key").distinct()
 
 
 _REL = "child string, parent string, rel string, ratio double, n long, shared boolean"
@@ -233,11 +270,16 @@ def _relate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["child", "parent", "rel", "ratio", "n", "shared"])
 
 
+def compared(f: DataFrame) -> DataFrame:
+    """(form_a, form_b): the pairs to be compared."""
+    keys = blocks(f).unionByName(address_keys(f)).distinct()
+    a, b = keys.toDF("form_a", "key", "hub_a"), keys.toDF("form_b", "key", "hub_b")
+    return a.join(b, "key").where((F.col("form_a") < F.col("form_b")) & ~(F.col("hub_a") & F.col("hub_b"))).select("form_a", "form_b").distinct()
+
+
 def related(f: DataFrame) -> DataFrame:
     """(child, parent, rel, ratio, n of the parent, shared): the compared pairs that are related."""
-    keys = block_keys(f)
-    a, b = keys.select(F.col("form").alias("form_a"), "key"), keys.select(F.col("form").alias("form_b"), "key")
-    pairs = a.join(b, "key").where(F.col("form_a") < F.col("form_b")).select("form_a", "form_b").distinct()
+    pairs = compared(f)
     side = lambda x: f.select(F.col("form").alias(f"form_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("given", "family", "type", "short", "n", "emails")], *([F.col("kind")] if x == "a" else []))
     return pairs.join(side("a"), "form_a").join(side("b"), "form_b").mapInPandas(_relate, _REL)
 

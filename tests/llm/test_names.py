@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quireloom.llm import names as N
 
@@ -49,6 +50,32 @@ def test_common_suffixes_keep_one_letter_pairs(spark, monkeypatch):
     assert {("f0", "f1"), ("f0", "f2"), ("f0", "f3")} <= got and not any("f4" in x for x in got)
 
 
+FORMS = "form string, kind string, given string, family string, type string, short boolean, n long, emails array<string>"
+
+
+def forms_of(people, houses):
+    x = [("analyst", N.parse_person(c), e) for c, e in people] + [("broker", N.parse_house(c), []) for c in houses]
+    return [(f"{k}{i}", k, *p, 1 + i % 3, e) for i, (k, p, e) in enumerate(x)]
+
+
+def missed(spark, rows):
+    """Pairs that _relate links, of all pairs, and those of them that are never compared."""
+    f = spark.createDataFrame(rows, FORMS)
+    side = lambda x: f.select(*[F.col(c).alias(c if c == "kind" and x == "a" else f"{c}_{x}") for c in f.columns])
+    links = side("a").join(side("b"), F.col("kind") == F.col("kind_b")).where("form_a < form_b").drop("kind_b").mapInPandas(N._relate, N._REL)
+    want, got = ({tuple(sorted((r.child, r.parent))) for r in x.collect()} for x in (links, N.related(f)))
+    return want, want - got
+
+
+def test_beyond_common_all_links_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMMON", 1)
+    people = [(c, []) for c in ("Bob Vorelli", "Robert Vorelli", "Bill Vorelli", "William Vorellli", "Tony Vorelli", "Anthony Vorelki", "Peggy Vorelli", "Margaret Vorelli", "Nargaret Vorelli", "Argaret Vorelli", "Ola Vorelli", "Aleksandra Vorelli", "R. Vorelli", "Vorelli", "Vorellli", "M Vorrelli")]
+    people += [("Anna Vorelli", ["v@x"]), ("Vorelli", ["v@x"]), ("Zoe Vorelli", ["v@x"]), ("Vorelki", ["v@x"]), ("A. Vorelli", ["a@x"])]
+    houses = ["Quillen Marsh Securities", "Quillen Marsh", "Quillen Mrash Bank", "Quillen", "Quilln Bank", "Quil. Bank", "QM", "MQ Sec", "Marsh Capital Markets", "Marsh Bank", "Quillen Marsh Bank"]
+    want, lost = missed(spark, forms_of(people, houses))
+    assert len(want) > 50 and not lost, (len(want), len(lost), sorted(lost))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "analyst_row_id long, name string, email string").write.parquet(f"{tmp_path}/analysts.parquet")
     spark.createDataFrame([], "query_id long, broker string").write.parquet(f"{tmp_path}/queries.parquet")
