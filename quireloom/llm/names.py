@@ -9,9 +9,10 @@ if that is one entity; else the one that shares an e-mail address, else the
 best supported.
 
 Blocks: all suffixes of at least MIN_SUFFIX letters of each token and of the
-reversed token. A suffix of more than COMMON forms isn't dropped: its forms get
-keys for each rule of _relate instead (one-letter deletions of the one field
-with what the rule asks of the other), which keep every pair that is linked.
+reversed token, if at most COMMON forms have it. Short names with a letter off
+share no such suffix, so all forms have keys for each rule of _relate as well
+(one-letter deletions of the one field with what the rule asks of the other),
+which give every pair that is linked, whatever the size of the tables.
 
 Nulls and cells without a letter stand for nobody and give no row; repeated
 rows count as support only; one spelling alone gives no pair.
@@ -203,17 +204,14 @@ def address_keys(f: DataFrame) -> DataFrame:
 
 
 def blocks(f: DataFrame) -> DataFrame:
-    """(form, key, hub): the suffix index, and the exact keys of the forms that have a common suffix. Two hubs of a key needn't be compared."""
+    """(form, key, hub): the suffix index without common suffixes, and the exact keys. Two hubs of a key needn't be compared."""
     tokens = F.split("family", " ")
     suffixes = lambda t: F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(F.lit(MIN_SUFFIX), F.length(t))), lambda n: F.substring(t, -F.least(n, F.length(t)), F.length(t)))
     rows = f.select("form", "kind", F.explode(tokens).alias("token"))
     both = F.concat(F.transform(suffixes(F.col("token")), lambda s: F.concat(F.lit("s:"), s)), F.transform(suffixes(F.reverse("token")), lambda s: F.concat(F.lit("p:"), s)))
     k = rows.withColumn("key", F.explode(F.array_distinct(both))).select("form", F.concat_ws(":", "kind", "key").alias("key"))
-    initials = f.where((F.col("kind") == "broker") & (F.size(tokens) > 1)).select("form", F.explode(F.array(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""), F.reverse(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")))).alias("key"))
-    initials = initials.unionByName(f.where((F.col("kind") == "broker") & F.col("short")).select("form", F.col("family").alias("key"))).withColumn("key", F.concat(F.lit("broker:i:"), "key"))
-    sized = k.join(k.groupBy("key").agg(F.countDistinct("form").alias("size")), "key")
-    few, many = sized.where(F.col("size") <= COMMON).select("form", "key"), sized.where(F.col("size") > COMMON).select("form").distinct()
-    return few.unionByName(initials).distinct().withColumn("hub", F.lit(False)).unionByName(exact_keys(f.join(many, "form", "left_semi")))
+    few = k.groupBy("key").agg(F.countDistinct("form").alias("size")).where(F.col("size") <= COMMON).join(k, "key").select("form", "key", F.lit(False).alias("hub"))
+    return few.unionByName(exact_keys(f)).distinct()
 
 
 def block_keys(f: DataFrame) -> DataFrame:

@@ -76,6 +76,13 @@ def test_beyond_common_all_links_are_compared(spark, monkeypatch):
     assert len(want) > 50 and not lost, (len(want), len(lost), sorted(lost))
 
 
+def test_short_names_are_compared_in_small_blocks(spark):
+    spelt = lambda w: {w, *(w[:i] + w[i + 1:] for i in range(len(w))), *(w[:i] + "y" + w[i + 1:] for i in range(len(w))), *(w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1)), w[1:] + w[0]}
+    families = sorted(set().union(*map(spelt, ("smith", "martin", "kohl", "vorelli"))))
+    want, lost = missed(spark, forms_of([(f"Anna {w.title()}", []) for w in families], ["ABC", "Corvin Brindle Aldous", *[f"{w.title()} Bank" for w in families]]))
+    assert len(want) > 400 and not lost, (len(want), len(lost), sorted(lost)[:9])
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "analyst_row_id long, name string, email string").write.parquet(f"{tmp_path}/analysts.parquet")
     spark.createDataFrame([], "query_id long, broker string").write.parquet(f"{tmp_path}/queries.parquet")
