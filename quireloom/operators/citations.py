@@ -15,8 +15,10 @@ TOLERANCE = 0.5  # fixed value: points that a box may stand beyond its page
 
 
 def resolve_requests(requests: DataFrame, blocks: DataFrame) -> DataFrame:
-    """request_id, document_id, label, claim_key, block_id, page_number, i, bbox, and reason (null: resolved) per id; requests without ids have one row with a reason."""
-    x = requests.select("request_id", "document_id", "label", "claim_key", F.posexplode_outer(F.array_distinct("evidence_block_ids")).alias("i", "block_id")).distinct()
+    """request_id, document_id, label, claim_key, highlight_metric, highlight_period, block_id, page_number, i, bbox, and reason (null: resolved) per id; requests without ids have one row with a reason."""
+    for c in {"highlight_metric", "highlight_period"} - set(requests.columns):
+        requests = requests.withColumn(c, F.lit(None).cast("string"))
+    x = requests.select("request_id", "document_id", "label", "claim_key", "highlight_metric", "highlight_period", F.posexplode_outer(F.array_distinct("evidence_block_ids")).alias("i", "block_id")).distinct()
     b = blocks.select("document_id", "block_id", "page_number", "bbox").dropDuplicates(["document_id", "block_id"]).withColumn("known", F.lit(True))
     j = x.join(b, ["document_id", "block_id"], "left")
     w = Window.partitionBy("request_id")
@@ -26,19 +28,22 @@ def resolve_requests(requests: DataFrame, blocks: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).drop("known")
 
 
-def citation_id(document: Column, page: Column, ids: Column, boxes: Column) -> Column:
-    """cit- and 24 hex over document, page, blocks and boxes, nothing else."""
-    body = F.to_json(F.struct(boxes.alias("bounding_boxes"), document.alias("document_id"), ids.alias("evidence_block_ids"), page.alias("page_number")))
+def citation_id(document: Column, page: Column, ids: Column, metric: Column, period: Column) -> Column:
+    """cit- and 24 hex over document, page, blocks and what is highlighted, as the reference hashes them (ASCII values)."""
+    # Fixed value: 1, the reference's schema version.
+    body = F.to_json(F.struct(document.alias("document_id"), ids.alias("evidence_block_ids"), metric.alias("highlight_metric"), period.alias("highlight_period"), page.alias("page_number"), F.lit(1).alias("schema")), {"ignoreNullFields": "false"})
     return F.concat(F.lit("cit-"), F.substring(F.sha2(body, 256), 1, 24))
 
 
 def build(resolved: DataFrame) -> DataFrame:
-    """One row per request and page: citation_id, document_id, page_number, block_ids, boxes, label, claim_key, split."""
+    """One row per request and page: citation_id, document_id, page_number, block_ids, boxes, label, claim_key, highlight_metric, highlight_period, split."""
     ok = resolved.where(F.col("reason").isNull())
-    g = ok.groupBy("request_id", "document_id", "page_number").agg(F.first("label").alias("label"), F.first("claim_key").alias("claim_key"), F.array_sort(F.collect_list(F.struct("i", "block_id", "bbox"))).alias("xs"))
+    first = [F.first(c).alias(c) for c in ("label", "claim_key", "highlight_metric", "highlight_period")]
+    g = ok.groupBy("request_id", "document_id", "page_number").agg(*first, F.array_sort(F.collect_list(F.struct("i", "block_id", "bbox"))).alias("xs"))
     g = g.withColumn("split", F.count("*").over(Window.partitionBy("request_id")) > 1)
     g = g.withColumns({"block_ids": F.transform("xs", lambda x: x["block_id"]), "boxes": F.array_distinct(F.array_compact(F.transform("xs", lambda x: x["bbox"])))})
-    return g.select("request_id", citation_id(F.col("document_id"), F.col("page_number"), F.col("block_ids"), F.col("boxes")).alias("citation_id"), "document_id", "page_number", "block_ids", "boxes", "label", "claim_key", "split")
+    identity = citation_id(*map(F.col, ("document_id", "page_number", "block_ids", "highlight_metric", "highlight_period")))
+    return g.select("request_id", identity.alias("citation_id"), "document_id", "page_number", "block_ids", "boxes", "label", "claim_key", "highlight_metric", "highlight_period", "split")
 
 
 def distinct_citations(built: DataFrame) -> DataFrame:
@@ -53,13 +58,13 @@ def bindings(built: DataFrame) -> DataFrame:
 
 
 def stale(built: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(citation_id, status): whether recomputing a citation from the blocks that are alive gives the same id."""
-    c = distinct_citations(built).select("citation_id", "document_id", "page_number", "block_ids", F.posexplode("block_ids").alias("i", "block_id"))
+    """(citation_id, status): whether the blocks that are alive still give a citation's page and boxes."""
+    c = distinct_citations(built).select("citation_id", "document_id", "page_number", "block_ids", "boxes", F.posexplode("block_ids").alias("i", "block_id"))
     b = blocks.select("document_id", "block_id", F.col("page_number").alias("p"), "bbox").dropDuplicates(["document_id", "block_id"])
     j = c.join(b, ["document_id", "block_id"], "left")
-    g = j.groupBy("citation_id", "document_id", "page_number", "block_ids").agg(F.min(F.col("p") == F.col("page_number")).alias("same"), F.count("p").alias("n"), F.array_sort(F.collect_list(F.struct("i", "bbox"))).alias("xs"))
-    again = citation_id(F.col("document_id"), F.col("page_number"), F.col("block_ids"), F.array_distinct(F.array_compact(F.transform("xs", lambda x: x["bbox"]))))
-    return g.select("citation_id", F.when(F.col("n") < F.size("block_ids"), "missing_block").when(~F.col("same"), "moved").when(again != F.col("citation_id"), "changed").otherwise("valid").alias("status"))
+    g = j.groupBy("citation_id", "page_number", "block_ids", "boxes").agg(F.min(F.col("p") == F.col("page_number")).alias("same"), F.count("p").alias("n"), F.array_sort(F.collect_list(F.struct("i", "bbox"))).alias("xs"))
+    again = F.array_distinct(F.array_compact(F.transform("xs", lambda x: x["bbox"])))
+    return g.select("citation_id", F.when(F.col("n") < F.size("block_ids"), "missing_block").when(~F.col("same"), "moved").when(again != F.col("boxes"), "changed").otherwise("valid").alias("status"))
 
 
 def highlight_boxes(requests: DataFrame, words: DataFrame) -> DataFrame:

@@ -237,6 +237,9 @@ def oracle_sql() -> dict:
         "context_signals": f"SELECT document_id, array_to_string({lists}, '|') AS contexts FROM (SELECT document_id, {flags} FROM {_LIVE} WHERE text IS NOT NULL GROUP BY 1)",
         "semantic_tokens": f"SELECT DISTINCT claim_id, array_to_string(list_sort({_tokens('text', True)}), '|') AS tokens FROM claims WHERE text IS NOT NULL",
         "citation_requests_status": f"SELECT request_id, any_value(reason) AS reason, count(DISTINCT page_number) AS n_pages FROM {_REQ} GROUP BY 1",
+        "citation_dedup": f"""WITH g AS (SELECT request_id, document_id, page_number, any_value(label) AS label, '"' || string_agg(block_id, '","' ORDER BY i) || '"' AS ids FROM {_REQ} WHERE reason IS NULL GROUP BY ALL),
+h AS (SELECT g.*, coalesce('"' || highlight_metric || '"', 'null') AS hm, coalesce('"' || highlight_period || '"', 'null') AS hp FROM g JOIN (SELECT DISTINCT ON (request_id) * FROM citation_requests ORDER BY request_id) q USING (request_id))
+SELECT 'cit-' || substr(sha256('{{"document_id":"' || document_id || '","evidence_block_ids":[' || ids || '],"highlight_metric":' || hm || ',"highlight_period":' || hp || ',"page_number":' || page_number || ',"schema":1}}'), 1, 24) AS citation_id, document_id, page_number, arg_min(label, request_id) AS label FROM h GROUP BY document_id, page_number, ids, hm, hp""",
         "claim_support": f"""WITH c AS (SELECT DISTINCT ON (claim_id) claim_id, document_id, text, evidence_block_ids FROM claims ORDER BY claim_id),
 x AS (SELECT claim_id, document_id, i, ids[i] AS block_id FROM (SELECT claim_id, document_id, list_filter(evidence_block_ids, lambda x, j: list_position(evidence_block_ids, x) = j) AS ids FROM c), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)),
 e AS (SELECT claim_id, coalesce(string_agg(b.text, chr(10) ORDER BY i), '') AS evidence, count(b.block_id) AS n, bool_or(b.block_id IS NULL) AS dropped FROM x LEFT JOIN {_ALL} b USING (document_id, block_id) GROUP BY 1),

@@ -108,6 +108,19 @@ def test_citations(spark):
     assert sorted(x.status for x in C.stale(C.build(r), moved).collect()) == ["changed", "missing_block", "missing_block", "valid"]
 
 
+def test_citations_of_other_highlights_differ(spark):
+    import hashlib
+    import json
+
+    b = blocks(spark, (1, "a"), (1, "b"))
+    rows = [(1, "d", ["b0", "b1"], "L", "k1", "ebit", "FY2026E"), (2, "d", ["b0", "b1"], "L", "k2", "ebit", None), (3, "d", ["b0", "b1"], "M", "k3", "ebit", "FY2026E"), (4, "d", ["b0", "b1"], "L", "k4", None, None)]
+    q = spark.createDataFrame(rows, "request_id long, document_id string, evidence_block_ids array<string>, label string, claim_key string, highlight_metric string, highlight_period string")
+    built = C.build(C.resolve_requests(q, b))
+    want = lambda m, p: "cit-" + hashlib.sha256(json.dumps({"schema": 1, "document_id": "d", "page_number": 1, "evidence_block_ids": ["b0", "b1"], "highlight_metric": m, "highlight_period": p}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
+    assert {(r.claim_key, r.citation_id) for r in C.bindings(built).collect()} == {(r[4], want(r[5], r[6])) for r in rows}
+    assert sorted(r.request_id for r in C.distinct_citations(built).collect()) == [1, 2, 4] and {r.status for r in C.stale(built, b).collect()} == {"valid"}
+
+
 def test_highlights(spark):
     w = [("d", 1, "b0", ln, k, t, (10.0 * k, 10.0 * ln, 10.0 * k + 8, 10.0 * ln + 8)) for ln, line in enumerate(["EBIT rose much", "Sales FY2026E 5", "end"]) for k, t in enumerate(line.split())]
     words = spark.createDataFrame(w, "document_id string, page_number int, block_id string, line_number int, word_number int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
