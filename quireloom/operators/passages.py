@@ -58,12 +58,13 @@ def context_signals(blocks: DataFrame) -> DataFrame:
     return g.select("document_id", F.array_compact(F.array(*[F.when(F.col(n), n) for n, _ in CONTEXTS])).alias("contexts"))
 
 
-def contributions(blocks: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(document_id, block_id, score, ord, reason); revisions: document_id, metric, block_ids."""
+def contributions(blocks: DataFrame, revisions: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(document_id, block_id, score, ord, reason); revisions: document_id, metric, block_ids; candidates: (document_id, block_id) that count as evidence as well."""
     b = with_positions(blocks)
     t = F.col("text")
     out = [b.where((F.col("page_number") == 1) & (F.col("on_page") <= 4)).select("document_id", "block_id", F.lit(SCORES["opening_context"]).alias("score"), F.lit(0).alias("ord"), F.lit("opening_context").alias("reason"))]
-    ev = revisions.select("document_id", F.explode("block_ids").alias("block_id")).distinct().join(b.select("document_id", "block_id", "page_number", "pos"), ["document_id", "block_id"])
+    cited = revisions.select("document_id", F.explode("block_ids").alias("block_id"))
+    ev = (cited if candidates is None else cited.unionByName(candidates.select("document_id", "block_id"))).distinct().join(b.select("document_id", "block_id", "page_number", "pos"), ["document_id", "block_id"])
     out.append(ev.select("document_id", "block_id", F.lit(SCORES["revision_evidence"]), F.lit(1), F.lit("revision_evidence")).toDF("document_id", "block_id", "score", "ord", "reason"))
     near = ev.select("document_id", F.col("page_number").alias("p"), F.explode(F.expr("filter(sequence(pos - 2, pos + 2), x -> x <> pos)")).alias("pos"))
     adj = near.join(b, ["document_id", "pos"]).where("page_number = p")
@@ -91,9 +92,9 @@ def contributions(blocks: DataFrame, revisions: DataFrame) -> DataFrame:
     return base.unionByName(cross.select("document_id", "block_id", F.lit(SCORES["explicit_cross_reference"]).alias("score"), F.lit(8).alias("ord"), F.lit("explicit_cross_reference").alias("reason")))
 
 
-def scores(blocks: DataFrame, revisions: DataFrame) -> DataFrame:
+def scores(blocks: DataFrame, revisions: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(document_id, block_id, score, reasons) of blocks with any contribution."""
-    g = contributions(blocks, revisions).groupBy("document_id", "block_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set(F.struct("ord", "reason"))).alias("r"))
+    g = contributions(blocks, revisions, candidates).groupBy("document_id", "block_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set(F.struct("ord", "reason"))).alias("r"))
     return g.select("document_id", "block_id", "score", F.transform("r", lambda x: x["reason"]).alias("reasons"))
 
 

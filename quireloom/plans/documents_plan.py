@@ -102,7 +102,7 @@ def context_signals(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str):  # noqa: ANN202
     b = _blocks(spark, d)
     r = _revisions(spark, d).select("document_id", "metric", F.flatten("evidence.block_ids").alias("block_ids"))
-    return b, P.scores(b, r)
+    return b, P.scores(b, r, R.candidate_blocks(b))
 
 
 def passage_score(spark: SparkSession, d: str) -> DataFrame:

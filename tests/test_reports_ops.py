@@ -76,6 +76,30 @@ def test_passages(spark):
     assert [(r.text, r.reasons[-1]) for r in cut] == [("Results re", "truncated_for_model_input")]
 
 
+def test_candidates_are_evidence(spark, tmp_path):
+    from quireloom.operators import revisions as R
+    from quireloom.plans import documents_plan as D
+
+    texts = [(1, "Title of it"), (1, "Notes"), (2, "one"), (2, "two"), (2, "Estimate changes"), (2, "three"), (3, "four"), (3, "ebit line"), (3, "old and new values"), (5, "ebit line"), (5, "five"), (5, "six")]
+    b = blocks(spark, *texts).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    b = b.unionByName(b.withColumn("document_id", F.lit("no revisions")))
+    b.write.parquet(f"{tmp_path}/blocks.parquet")
+    spark.createDataFrame([("r", "d", "ebit", [(["b11", "zz"],)])], "revision_id string, document_id string, metric string, evidence array<struct<block_ids:array<string>>>").write.parquet(f"{tmp_path}/revisions.parquet")
+    want = {}
+    for doc in ("d", "no revisions"):
+        cand = {r.block_id for r in R.candidate_blocks(b.where(F.col("document_id") == doc)).collect()}
+        assert cand == {"b4", "b8"}
+        ids = {int(x[1:]) for x in cand | ({"b11"} if doc == "d" else set())}
+        for i, (page, t) in enumerate(texts):
+            near = sum(texts[k][0] == page for k in ids if 0 < abs(k - i) <= 2)
+            metric = doc == "d" and "ebit" in t and any(abs(texts[k][0] - page) <= 1 for k in ids)
+            n = 12 * (page == 1) + 100 * (i in ids) + 45 * near + 20 * metric
+            if n:
+                want[doc, f"b{i}"] = n
+    assert {(r.document_id, r.block_id): r.score for r in D.passage_score(spark, str(tmp_path)).collect()} == want
+    assert {(r.document_id, r.block_id) for r in D.passage_budget(spark, str(tmp_path)).collect()} == set(want)
+
+
 @pytest.mark.parametrize(("claim", "evidence", "want"), [
     ("Revenue raised 10%", "We raised revenue by 10%", True), ("Revenue raised 12%", "We raised revenue by 10%", False), ("Costs cut", "We raised costs", False), ("entirely different words here", "We raised costs", False), ("", "x", False), (None, "x", False), ("1,5 margin", "margin of 1.5", True),
 ])
