@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from quireloom.functions import finance as N
 from quireloom.operators import citations as C
 from quireloom.operators import contacts as K
 from quireloom.operators import grounding as G
+from quireloom.operators import layout as L
 from quireloom.operators import passages as P
 from quireloom.operators import revisions as R
 from quireloom.operators import summary as S
-from quireloom.session import table
+from quireloom.operators import tables as T
+from quireloom.session import cut, table
 from quireloom.sources.reports import live_blocks
 
 
@@ -90,9 +94,26 @@ def revision_recall(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.countDistinct("revision_id").alias("n_recorded"), F.countDistinct(F.when(F.col("hit") == 1, F.col("revision_id"))).alias("n_found"))
 
 
-def revision_statuses(spark: SparkSession, d: str) -> DataFrame:
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Revisions of all six parsers on the pages that have candidates, deduplicated, with the consensus values of their pages; the statuses of all documents."""
     b = _blocks(spark, d)
-    return R.statuses(b, R.candidate_blocks(b).select("document_id"), R.text_revisions(b))
+    c = R.candidate_blocks(b)
+    w = table(spark, d, "words").dropDuplicates(["word_id"]).join(c.select("document_id", "page_number").distinct(), ["document_id", "page_number"], "left_semi")
+    p = cut(L.pages(w.join(b.select("document_id", "block_id"), ["document_id", "block_id"], "left_semi")))
+    rows = [f(c).select(*R.ROW) for f in (R.prose_revisions, R.inline_changes, R.compact_targets)] + [f(p).select(*R.ROW) for f in (T.aligned_tables, T.grouped_tables, T.matrix_tables)]
+    r = cut(R.attach_consensus(R.deduplicate(R.finalize(cut(reduce(DataFrame.unionByName, rows)))), T.consensus_rows(p)))
+    return r, R.statuses(b, c.select("document_id"), r)
+
+
+def document_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every document with its revisions in text and tables; one row with nulls if it has none."""
+    r, s = _extracted(spark, d)
+    r = r.select("document_id", "page_number", "metric", F.array_join("qualifiers", "|").alias("qualifiers"), "period", "old_value", "new_value", "unit", "stated_pct", "consensus_value", "old_vs_consensus", "new_vs_consensus", "direction", "method", "confidence", F.array_join("warnings", "|").alias("warnings"))
+    return s.select("document_id", "status").join(r, "document_id", "left")
+
+
+def revision_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d)[1]
 
 
 def context_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +208,7 @@ def report_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [revision_arithmetic, reconcile_tolerance, conflict_flag, revision_summary, unexplained_revisions, question_groups, brief_rows_topk, estimate_bars, consensus_unique_join, candidate_blocks, text_revisions, revision_recall, revision_statuses, context_signals, passage_score,
+    fs = [revision_arithmetic, reconcile_tolerance, conflict_flag, revision_summary, unexplained_revisions, question_groups, brief_rows_topk, estimate_bars, consensus_unique_join, candidate_blocks, text_revisions, revision_recall, document_revisions, revision_statuses, context_signals, passage_score,
           passage_budget, semantic_tokens, claim_support, driver_links, driver_items, citation_requests_status, citation_build, citation_dedup, claim_bindings, citation_stale, highlight_boxes, contact_extract, publication_date, report_title]
     return {f.__name__: f for f in fs}
 

@@ -77,3 +77,19 @@ def test_consensus(spark):
 def test_merge(spark, boxes, want):
     df = spark.createDataFrame([([tuple(map(float, b)) for b in boxes],)], "b array<struct<x0:double,y0:double,x1:double,y1:double>>")
     assert [tuple(x) for x in df.select(L.merge_boxes(F.col("b")).alias("m")).collect()[0].m] == want
+
+
+def test_revisions_of_text_and_tables(spark, tmp_path):
+    from quireloom.plans import documents_plan as D
+
+    rows = [(100, [(40, "Estimate"), (70, "changes")]), (120, [(200, "Old"), (300, "New")]), (140, [(40, "EBIT"), (70, "FY26E"), (200, "100"), (300, "110")])]
+    words = [(doc, 1, b, t, (float(x), float(y), x + 24.0, y + 10.0)) for doc, b in (("table", "t0"), ("both", "t1")) for y, cells in rows for x, t in cells]
+    w = spark.createDataFrame([(i, *x, 0, i) for i, x in enumerate(words)], f"word_id long, {WORDS}, line_number int, word_number int")
+    w.write.parquet(f"{tmp_path}/words.parquet")
+    texts = [("table", "t0", "Estimate changes"), ("both", "t1", "Estimate changes"), ("both", "p1", "We raise our EBIT FY26E estimate from 100 to 110"), ("text", "p2", "We raise our EBIT FY26E estimate from 100 to 110"), ("open", "p3", "Estimate changes"), ("none", "p4", "Weather")]
+    b = spark.createDataFrame([(d, 1, i, k, t, (0.0, 0.0, 9.0, 9.0)) for i, (d, k, t) in enumerate(texts)], "document_id string, page_number int, block_order int, block_id string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    b.withColumn("deleted_at", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/blocks.parquet")
+    got = {r.document_id: (r.status, r.n_revisions) for r in D.revision_statuses(spark, str(tmp_path)).collect()}
+    assert got == {"table": ("revisions_found", 1), "both": ("revisions_found", 1), "text": ("revisions_found", 1), "open": ("candidates_unresolved", 0), "none": ("no_revisions", 0)}
+    kept = {r.document_id: r.method for r in D.document_revisions(spark, str(tmp_path)).collect()}
+    assert kept == {"table": "table_old_new", "both": "table_old_new", "text": "prose_old_new", "open": None, "none": None}
