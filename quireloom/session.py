@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,14 +59,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediate tables: spark.checkpoint.dir of the session.
+
+    Only where that is unset and everything runs on this machine (tests) a
+    temporary folder is taken; on a cluster that is an error, as executors can't
+    read each other's disks.
+    """
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not getattr(sc, "_quireloom_folder", None):
+        sc._quireloom_folder = "file://" + tempfile.mkdtemp(prefix="quireloom-")
+    return sc._quireloom_folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared checkpoint folder, so that a lost executor loses no result.
+    """Writes df once as a table in the shared folder and reads that, so that a lost executor loses no result.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset
-    (tests on one machine) a temporary folder is set.
+    A reader of a cut table reads only its columns. The files are removed when the session's JVM ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        given = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quireloom-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quireloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
