@@ -1,14 +1,20 @@
 """Lines repeated across one source's documents (problem 4).
 
-Texts are put in canonical form (blanks collapsed, lower case, runs of digits
-as one sign) and cut into content-defined chunks: a rolling hash over WINDOW
-bytes ends a chunk where its low bits are zero, whatever stands before the
-window, so the same passage yields the same chunks in every document. The
-window starts anew at a line's start and a line's end closes a chunk, as the
-result is asked by line. Per source the distinct documents of each chunk are
-counted; chunks in at least MIN_DOCS documents and SHARE of all documents of
-the source are repeated excessively. A line all of whose chunks are repeated is
-a candidate, and its own documents are counted exactly.
+A text is put in canonical form (blanks and line ends as one space, lower case,
+runs of digits as one sign) and cut into content-defined chunks over its whole
+length: a rolling hash of the last WINDOW bytes ends a chunk where its low bits
+are zero, whatever stands before the window; line ends play no part in it. So a
+passage yields the same chunks in every document, but for the two at its ends.
+Per source the distinct documents of each chunk are counted; chunks in at least
+MIN_DOCS documents and SHARE_TENTHS/10 of all documents of the source are
+repeated excessively, and only lines that such a chunk overlaps can be cut.
+
+The result is asked by line. A line that holds no chunk as a whole at the usual
+density of chunk ends is chunked again with denser ends, of LEVELS the first
+that gives it one; a line too short for any is a chunk of its own. Hence each
+repeated line has a chunk that depends on the line's content alone and is as
+frequent as the line, and none is lost. As an excessive chunk may overlap other
+lines too, the documents of the lines marked are counted exactly at the end.
 
 Null texts hold no line; blank lines never count; repeated rows and repeated
 lines of one document count once. A null source name forms a source of its own.
@@ -29,10 +35,8 @@ from pyspark.sql import functions as F
 from quireloom.session import cut
 
 MIN_DOCS, SHARE_TENTHS = 3, 3
-WINDOW, MIN_CHUNK, MASK = 8, 12, np.uint64(15)
-BROADCAST_ROWS = 200_000  # about 10 MB of (source, chunk)
-
-_ZEROS = "0-9"
+WINDOW, LEVELS = 4, (4, 3, 2, 1)  # zero bits of the hash at a chunk's end: 16, 8, 4, 2 bytes a chunk on average
+_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 
 
 def source_key(filename: Column) -> Column:
@@ -50,102 +54,132 @@ def _gear() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
 
 
-def chunk_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sorted ends of the chunks of the lines data[starts[i]:ends[i]], of all lines at once.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class RollingHash:
+    """Hashes of any slices of data, from one running sum of byte values times powers of _BASE."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        power = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)]))
+        self.back = power(np.uint64(pow(_BASE, -1, 1 << 64)))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_gear()[data] * power(np.uint64(_BASE))[:n], dtype=np.uint64)])
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+
 
-    A position may end a chunk where the hash of the last WINDOW bytes matches
-    and the line has begun WINDOW bytes before; chunks under MIN_CHUNK bytes
-    are joined with the next one.
+def chunks(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, chunk hash) of every chunk that overlaps a line, of many texts at once.
+
+    texts: where each text begins in data, ascending; starts, ends: its lines in
+    order. A chunk runs from one end to the next inside a text.
     """
-    n = len(data)
-    h = np.zeros(n, np.uint64)
-    g = _gear()[data]
-    for k in range(WINDOW):
-        h[k:] += g[: n - k] * np.uint64(2 * k + 1) << np.uint64(k)
-    line = np.zeros(n + 1, np.int64)
-    line[starts] = 1
-    line = np.cumsum(line[:-1]) - 1
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    at = np.flatnonzero(((h >> np.uint64(40)) & MASK) == 0)
-    at = at[at - starts[line[at]] >= WINDOW] + 1
-    out, last, cur = [], -1, -1
-    for p in at.tolist():  # a short pass over the few candidates keeps the least length
-        i = line[p - 1]
-        if i != cur:
-            cur, last = i, starts[i]
-        if p - last >= MIN_CHUNK and ends[i] - p >= MIN_CHUNK:
-            out.append(p)
-            last = p
-    return np.union1d(np.array(out, np.int64), ends[ends > starts])
-
-
-_LINES = "block_id string, document_id string, source string, line_no int, line_hash long, chunks array<long>"
+    n, h = len(data), RollingHash(data)
+    line_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    at = np.arange(WINDOW, n + 1)
+    hit = h(at - WINDOW, at)
+    text_of = np.searchsorted(texts, np.arange(n), "right")
+    whole = text_of[at - 1] == text_of[at - WINDOW]
+    inside = (starts[line_of[at - 1]] <= at - WINDOW) & (at <= ends[line_of[at - 1]])
+    out, done = [], np.zeros(len(starts), bool)
+    for k, bits in enumerate(LEVELS):
+        end = whole & ((hit & np.uint64((1 << bits) - 1)) == 0)
+        own = np.bincount(line_of[at[end & inside] - 1], minlength=len(starts))
+        if k == 0:  # the chunks of the texts
+            p = np.union1d(np.union1d(at[end], texts), [n])
+            first, last = line_of[p[:-1]], line_of[np.maximum(p[1:] - 1, p[:-1])]
+            spans = last - first + 1
+            of = np.repeat(first, spans) + (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
+            out.append((of, np.repeat(h(p[:-1], p[1:]), spans)))
+        else:
+            mine = end & inside & ~done[line_of[at - 1]] & (own >= 2)[line_of[at - 1]]
+            p = at[mine]
+            same = line_of[p[:-1] - 1] == line_of[p[1:] - 1]
+            out.append((line_of[p[:-1][same] - 1], h(p[:-1][same], p[1:][same])))
+        done |= own >= 2
+    short = np.flatnonzero(~done)
+    out.append((short, h(starts[short], ends[short])))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+_LINES = "block_id string, document_id string, source long, line_no int, line_hash long, chunks array<long>"
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     signed = lambda b: xxhash.xxh3_64_intdigest(b) - (1 << 63)
     for b in batches:
-        rows, texts = [], []
+        rows, parts, texts, starts, ends, at = [], [], [], [], [], 0
         for r in b.itertuples(index=False):
-            for no, line in enumerate((r.text or "").split("\n"), 1):
-                c = canonical(line)
-                if c:
-                    rows.append((r.block_id, r.document_id, r.source, no))
-                    texts.append(c.encode())
+            fresh = True
+            for no, line in enumerate(r.text.split("\n"), 1):
+                c = canonical(line).encode()
+                if not c:
+                    continue
+                if fresh:
+                    texts.append(at)
+                else:  # a line's end is a space as any other
+                    parts.append(b" ")
+                    at += 1
+                fresh = False
+                rows.append((r.block_id, r.document_id, r.source, no, signed(c)))
+                parts.append(c)
+                starts.append(at)
+                at += len(c)
+                ends.append(at)
         if not rows:
             continue
-        lengths = np.array([len(t) for t in texts])
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        whole = b"".join(texts)
-        cuts = chunk_ends(np.frombuffer(whole, np.uint8), starts, ends)
-        first, after = np.searchsorted(cuts, starts, "right"), np.searchsorted(cuts, ends, "right")
-        out, at = [], 0
-        for i, row in enumerate(rows):
-            at, chunks = int(starts[i]), []
-            for e in cuts[first[i] : after[i]].tolist():
-                chunks.append(signed(whole[at:e]))
-                at = e
-            out.append((*row, signed(texts[i]), chunks))
-        yield pd.DataFrame(out, columns=["block_id", "document_id", "source", "line_no", "line_hash", "chunks"])
+        of, h = chunks(np.frombuffer(b"".join(parts), np.uint8), np.array(texts), np.array(starts), np.array(ends))
+        order = np.lexsort((h, of))
+        of, h = of[order], h[order].view(np.int64)
+        keep = np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
+        of, h = of[keep], h[keep]
+        out = pd.DataFrame(rows, columns=["block_id", "document_id", "source", "line_no", "line_hash"])
+        out["chunks"] = np.split(h, np.searchsorted(of, np.arange(1, len(rows))))
+        yield out
+
+
+def with_source(blocks: DataFrame) -> DataFrame:
+    """blocks with source, a 64-bit number of the source's name."""
+    return blocks.withColumn("source", F.xxhash64(source_key(F.coalesce("source_filename", F.lit("?")))))
 
 
 def chunked_lines(blocks: DataFrame) -> DataFrame:
     """One row per line that isn't blank: block_id, document_id, source, line_no, line_hash, chunks."""
-    b = blocks.where(F.col("text").isNotNull()).select("block_id", "document_id", source_key(F.col("source_filename")).alias("source"), "text").distinct()
-    return b.mapInPandas(_lines, _LINES)
+    return blocks.where(F.col("text").isNotNull()).select("block_id", "document_id", "source", "text").mapInPandas(_lines, _LINES)
 
 
 def source_sizes(blocks: DataFrame) -> DataFrame:
     """(source, n_all): distinct documents of each source."""
-    return blocks.select(source_key(F.col("source_filename")).alias("source"), "document_id").distinct().groupBy("source").agg(F.count("document_id").alias("n_all"))
+    return blocks.select("source", "document_id").distinct().groupBy("source").agg(F.count("document_id").alias("n_all"))
 
 
 def excessive(items: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """(source, key, n_docs): keys in at least MIN_DOCS and SHARE_TENTHS/10 of the documents of their source."""
-    n = items.select("source", key, "document_id").distinct().groupBy("source", key).agg(F.count("document_id").alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
-    n = n.withColumnRenamed("source", "s").join(sizes, F.col("s").eqNullSafe(F.col("source")))
-    return n.where(F.col("n_docs") * 10 >= F.col("n_all") * SHARE_TENTHS).select("source", key, "n_docs")
+    """(source, key, n_docs): keys in at least MIN_DOCS and SHARE_TENTHS/10 of the documents of their source.
+
+    Rows of items are counted first, with map-side combining: a key with too few
+    rows has too few documents. Only the rest is counted by distinct documents.
+    """
+    enough = lambda n: (F.col(n) >= MIN_DOCS) & (F.col(n) * 10 >= F.col("n_all") * SHARE_TENTHS)
+    often = items.groupBy("source", key).agg(F.count("*").alias("n_rows")).join(sizes, "source").where(enough("n_rows"))
+    docs = items.join(often, ["source", key]).select("source", key, "n_all", "document_id").distinct()
+    return docs.groupBy("source", key, "n_all").agg(F.count("document_id").alias("n_docs")).where(enough("n_docs")).select("source", key, "n_docs")
 
 
 def repeated_lines(blocks: DataFrame) -> DataFrame:
     """(block_id, document_id, line_no): the lines to be cut."""
-    blocks = blocks.withColumn("source_filename", F.coalesce("source_filename", F.lit("?")))
+    blocks = with_source(blocks)
     lines, sizes = cut(chunked_lines(blocks)), cut(source_sizes(blocks))
-    chunks = lines.select("source", "document_id", F.explode(F.array_distinct("chunks")).alias("chunk"))
-    bad = cut(excessive(chunks, "chunk", sizes))
-    # Few chunks can be in 3/10 of their source's documents; their number is checked before they are sent to all.
-    per = bad.groupBy("source").agg(F.collect_set("chunk").alias("bad"))
-    if bad.count() <= BROADCAST_ROWS:
-        cand = lines.join(F.broadcast(per), "source").where(F.size(F.array_except("chunks", "bad")) == 0)
-    else:
-        key = lines.select("source", "line_hash", "chunks").distinct()
-        x = key.select("source", "line_hash", F.size(F.array_distinct("chunks")).alias("need"), F.explode(F.array_distinct("chunks")).alias("chunk"))
-        good = x.join(bad, ["source", "chunk"]).groupBy("source", "line_hash").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need")
-        cand = lines.join(good.select("source", "line_hash"), ["source", "line_hash"])
-    cand = cand.select("block_id", "document_id", "source", "line_no", "line_hash")
-    lines_bad = excessive(cand, "line_hash", sizes).select("source", "line_hash")
-    return cand.join(lines_bad, ["source", "line_hash"], "left_semi").select("block_id", "document_id", "line_no").distinct()
+    # The chunks in 3/10 of a source's documents are at most 10/3 of the chunks of one document, however large the source.
+    bad = cut(excessive(lines.select("source", "document_id", F.explode("chunks").alias("chunk")), "chunk", sizes))
+    marked = lines.select("source", "line_hash", F.explode("chunks").alias("chunk")).join(bad, ["source", "chunk"], "left_semi").select("source", "line_hash").distinct()
+    marked = lines.select("block_id", "document_id", "source", "line_no", "line_hash").join(marked, ["source", "line_hash"], "left_semi")
+    sure = excessive(marked, "line_hash", sizes)
+    return marked.join(sure, ["source", "line_hash"], "left_semi").select("block_id", "document_id", "line_no").distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quireloom.llm import boilerplate as B
 
@@ -42,20 +43,43 @@ def test_against_brute_force(spark, tmp_path):
     assert want and run(spark, tmp_path, rows()) == want
 
 
-def test_without_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
-    assert run(spark, tmp_path, rows()) == brute(rows())
+def test_rows_come_from_chunks(spark, tmp_path, monkeypatch):
+    real = B.excessive
+    monkeypatch.setattr(B, "excessive", lambda items, key, sizes: real(items, key, sizes).where(F.col("chunk") % 2 == 0) if key == "chunk" else real(items, key, sizes))
+    some = run(spark, tmp_path, rows())
+    monkeypatch.setattr(B, "excessive", lambda items, key, sizes: real(items, key, sizes).limit(0) if key == "chunk" else real(items, key, sizes))
+    assert some < brute(rows()) and run(spark, tmp_path, rows()) == set()
 
 
-def test_chunks_of_a_passage_are_the_same_after_an_edit():
-    r = random.Random(2)
-    passage = bytes(r.randrange(97, 123) for _ in range(400))
+def chunked(*texts):
+    """Per line of the texts its set of chunk hashes."""
+    data, begins, starts, ends = b"", [], [], []
+    for t in texts:
+        begins.append(len(data))
+        for i, line in enumerate(t):
+            data += b" " if i else b""
+            starts.append(len(data))
+            data += line
+            ends.append(len(data))
+    of, h = B.chunks(np.frombuffer(data, np.uint8), *map(np.array, (begins, starts, ends)))
+    return [set(h[of == i].tolist()) for i in range(len(starts))]
 
-    def cuts(line):
-        e = B.chunk_ends(np.frombuffer(line, np.uint8), np.array([0]), np.array([len(line)])).tolist()
-        return {line[a:b] for a, b in zip([0, *e], e)}
 
-    assert len(cuts(passage) & cuts(b"another beginning " + passage)) >= len(cuts(passage)) - 2 > 3
+def test_a_line_has_the_same_chunks_wherever_it_stands():
+    r = random.Random(2)
+    word = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    for n in (1, 2, 5, 9, 17, 40, 90, 400):
+        for _ in range(20):
+            line = word(n)
+            got = chunked([word(r.randint(1, 50)), line, word(9)], [line], [word(30), line])
+            assert got[1] & got[3] & got[5], (n, line)
+
+
+def test_chunks_run_over_line_ends_and_find_moved_passages():
+    r = random.Random(3)
+    text = bytes(r.choice(b"abcdefgh ") for _ in range(600))
+    a, b = chunked([text[:300], text[301:]], [b"another start " + text[:90], text[91:200], text[201:]])[:2], chunked([b"another start " + text[:90], text[91:200], text[201:]])
+    assert a[0] & a[1] and len(set().union(*b) & set().union(*chunked([text]))) > 20
 
 
 def test_empty(spark, tmp_path):
