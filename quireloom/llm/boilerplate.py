@@ -83,7 +83,7 @@ def chunks(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.nda
     line_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     at = np.arange(WINDOW, n + 1)
     hit = h(at - WINDOW, at)
-    text_of = np.searchsorted(texts, np.arange(n), "right")
+    text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(texts, n)))
     whole = text_of[at - 1] == text_of[at - WINDOW]
     inside = (starts[line_of[at - 1]] <= at - WINDOW) & (at <= ends[line_of[at - 1]])
     out, done = [], np.zeros(len(starts), bool)
@@ -91,7 +91,9 @@ def chunks(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.nda
         end = whole & ((hit & np.uint64((1 << bits) - 1)) == 0)
         own = np.bincount(line_of[at[end & inside] - 1], minlength=len(starts))
         if k == 0:  # the chunks of the texts
-            p = np.union1d(np.union1d(at[end], texts), [n])
+            mark = np.zeros(n + 1, bool)
+            mark[at[end]] = mark[texts] = mark[n] = True
+            p = np.flatnonzero(mark)
             first, last = line_of[p[:-1]], line_of[np.maximum(p[1:] - 1, p[:-1])]
             spans = last - first + 1
             of = np.repeat(first, spans) + (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
