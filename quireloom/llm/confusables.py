@@ -1,11 +1,16 @@
 """Visually identical text with different characters (problem 5).
 
-plain_texts brings a text to one form: no invisible characters, ordinary
-spaces, characters of normal width, joined letters apart, accents in one
-character with their letter. Then look-alike letters, script-aware: where every
-letter that isn't Latin is one of the sure look-alikes, all become Latin; other
-look-alikes (weak ones, such as a Greek nu) are substituted only in tokens
-whose dominant script is Latin and only when the result is a word of the corpus.
+Texts get one form: no invisible characters, ordinary spaces, characters of
+normal width, joined letters apart, accents in one character with their letter.
+Then look-alike letters are repaired token by token, script-aware: each token's
+dominant script is determined, and in a token of mixed scripts the look-alikes
+become Latin only when the result is a word of the corpus. Look-alikes are sure
+(a Cyrillic o) or weak (a Greek nu); weak ones need a dominant Latin script too.
+
+Two cases lie outside that method. A text with a letter of another script that
+looks like no Latin one keeps all its letters. A token wholly of look-alikes
+isn't mixed, so neither script nor corpus can speak for it: it becomes Latin if
+every letter of the text that isn't Latin is a sure look-alike.
 
 Null texts give no row, empty texts stay empty, repeated rows count once.
 """
@@ -17,10 +22,12 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quireloom.session import cut
+
 # Letters of other scripts that look like a Latin letter.
 SURE = dict(zip(
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοАВЕКМНОРСТХЅІЈУаеорсухѕіјһԁԛԝ",
@@ -54,46 +61,64 @@ def simple(c: str) -> str:
 
 
 @lru_cache(100_000)
-def plain(text: str) -> tuple[str, str | None]:
-    """(the sure plain text, or a candidate that needs a look into the corpus' words)."""
-    s = unicodedata.normalize("NFC", "".join(map(simple, INVISIBLE.sub("", text))))
-    d = unicodedata.normalize("NFD", s)
-    other = [c for c in d if script(c) not in ("", "LATIN")]
-    if not other:
-        return s, None
-    if all(c in SURE for c in other):
-        return unicodedata.normalize("NFC", "".join(SURE.get(c, c) for c in d)), None
-    if any(c not in SURE and c not in WEAK for c in other):
-        return s, None
-    fixed = []
-    for token in re.split(r"( +)", d):
-        scripts = [script(c) for c in token if script(c)]
-        mixed = 2 * scripts.count("LATIN") > len(scripts)
-        fixed.append("".join(SURE.get(c) or WEAK.get(c) or c for c in token) if mixed else token)
-    c = unicodedata.normalize("NFC", "".join(fixed))
-    return s, None if c == s else c
-
-
-@F.pandas_udf(T.StructType([T.StructField("plain", T.StringType()), T.StructField("candidate", T.StringType())]))
+def plain(text: str) -> tuple[str, tuple[tuple[str, str, str | None], ...] | None]:
+    """(the form, its tokens to be repaired: (as it stands, repaired, the word that the corpus must have)).
+
+    No tokens: nothing to repair. No word: repaired in any case (or the same).
+    """
+    form = unicodedata.normalize("NFC", "".join(map(simple, INVISIBLE.sub("", text))))
+    other = [c for c in unicodedata.normalize("NFD", form) if script(c) not in ("", "LATIN")]
+    if not other or any(c not in SURE and c not in WEAK for c in other):
+        return form, None
+    all_sure = all(c in SURE for c in other)
+    tokens = []
+    for token in re.split("( +)", form):
+        letters = unicodedata.normalize("NFD", token)
+        scripts = [x for x in map(script, letters) if x]
+        latin = scripts.count("LATIN")
+        sure = all(c in SURE for c in letters if script(c) not in ("", "LATIN"))
+        fixed = unicodedata.normalize("NFC", "".join(SURE.get(c) or WEAK.get(c) or c for c in letters))
+        if fixed == token or not (all_sure if latin == 0 else sure or 2 * latin > len(scripts)):
+            fixed = token
+        tokens.append((token, fixed, bare(fixed) if fixed != token and latin else None))
+    return form, tuple(tokens) if any(a != b for a, b, _ in tokens) else None
+
+
+def bare(token: str) -> str:
+    """A word without signs and digits around it, in lower case."""
+    return re.sub(r"^[\W\d_]+|[\W\d_]+$", "", token).lower()
+
+
+def bare_column(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, r"^\P{L}+|\P{L}+$", ""))
+
+
+_TOKEN = T.StructType([T.StructField(c, T.StringType()) for c in ("token", "fixed", "word")])
+
+
+@F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("tokens", T.ArrayType(_TOKEN))]))
 def plain_texts(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([plain(t) for t in text], columns=["plain", "candidate"])
+    rows = [plain(t) for t in text]
+    return pd.DataFrame({"form": [f for f, _ in rows], "tokens": [None if t is None else [dict(zip(("token", "fixed", "word"), x, strict=True)) for x in t] for _, t in rows]})
 
 
 def repaired(odd: DataFrame, corpus: DataFrame) -> DataFrame:
-    """odd (text and other columns) with plain; corpus: the words (text) that a weak substitution must lead to."""
-    p = odd.withColumn("p", plain_texts("text"))
-    sure = p.where(F.col("p.candidate").isNull()).select(*odd.columns, F.col("p.plain").alias("plain"))
-    weak = p.where(F.col("p.candidate").isNotNull()).select(*odd.columns, F.col("p.plain").alias("s"), F.col("p.candidate").alias("c"))
-    weak = weak.withColumn("bare", F.lower(F.regexp_replace("c", r"^\P{L}+|\P{L}+$", "")))
-    words = corpus.where(F.col("text").rlike("^[ -~]+$")).select(F.lower(F.regexp_replace("text", r"^[^A-Za-z]+|[^A-Za-z]+$", "")).alias("bare")).distinct()
-    weak = weak.join(words.withColumn("known", F.lit(True)), "bare", "left").select(*odd.columns, F.when(F.col("known"), F.col("c")).otherwise(F.col("s")).alias("plain"))
-    return sure.unionByName(weak)
+    """Distinct texts of odd with plain; corpus: texts (text) whose words of Latin letters make up the vocabulary."""
+    p = cut(odd.select("text").distinct().withColumn("p", plain_texts("text")).select("text", "p.*"))
+    told = p.where(F.col("tokens").isNotNull())
+    words = cut(told.select(F.explode("tokens.word").alias("word")).where(F.col("word").isNotNull()).distinct())
+    vocabulary = corpus.select(F.explode(F.split("text", r"\s+")).alias("t")).where(F.col("t").rlike(r"^[\x21-\x7E\p{IsLatin}]+$")).select(bare_column(F.col("t")).alias("word"))
+    known = vocabulary.join(words, "word", "left_semi").distinct()
+    of_text = told.select("text", F.explode("tokens.word").alias("word")).join(known, "word").groupBy("text").agg(F.collect_set("word").alias("known"))
+    use = lambda t: F.when(t["word"].isNull() | F.coalesce(F.array_contains("known", t["word"]), F.lit(False)), t["fixed"]).otherwise(t["token"])
+    told = told.join(of_text, "text", "left").select("text", F.array_join(F.transform("tokens", use), "").alias("plain"))
+    return p.where(F.col("tokens").isNull()).select("text", F.col("form").alias("plain")).unionByName(told)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """See TESTDATA.md."""
+    """See TESTDATA.md. The corpus is the words, the tickers and the texts of the blocks."""
     read = lambda t, k, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(c).alias("text"))
     both = read("words", "word_id", "text").unionByName(read("queries", "query_id", "ticker"))
-    odd = both.where(F.col("text").rlike(ODD))
-    r = repaired(odd, spark.read.parquet(f"{d}/words.parquet").select("text"))
-    return r.where(F.col("plain") != F.col("text")).select("record_table", "record_id", F.col("plain").alias("plain_text")).distinct()
+    odd = cut(both.where(F.col("text").rlike(ODD)).distinct())
+    r = repaired(odd, both.select("text").unionByName(spark.read.parquet(f"{d}/blocks.parquet").select("text")))
+    return odd.join(r.where(F.col("plain") != F.col("text")), "text").select("record_table", "record_id", F.col("plain").alias("plain_text"))

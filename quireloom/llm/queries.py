@@ -17,11 +17,18 @@ LEFT JOIN (SELECT document_id, block_id, string_agg(line, chr(10) ORDER BY line_
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _FULL = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 _SURE, _TO = "".join(confusables.SURE), "".join(confusables.SURE.values())
+_WEAK, _WEAK_TO = "".join(confusables.WEAK), "".join(confusables.WEAK.values())
+_FOREIGN = r"regexp_replace(regexp_replace({0}, '[{1}]', '', 'g'), '[\P{{L}}\p{{Latin}}]', '', 'g') = ''"  # no letter but Latin ones and those of {1}
 P5_FOUND = rf"""WITH t AS (SELECT 'words' AS record_table, word_id AS record_id, text FROM words UNION SELECT 'queries', query_id, ticker FROM queries),
-a AS (SELECT *, regexp_replace(regexp_replace(text, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{206F}}\x{{FEFF}}]', '', 'g'), '\p{{Zs}}', ' ', 'g') AS u FROM t WHERE regexp_matches(text, '[^ -~]')),
-b AS (SELECT *, nfc_normalize(translate(replace(replace(replace(replace(replace(u, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_WIDE}', '{_FULL}')) AS v FROM a),
-c AS (SELECT *, CASE WHEN regexp_replace(regexp_replace(v, '[{_SURE}ї]', '', 'g'), '[\P{{L}}\p{{Latin}}]', '', 'g') = '' THEN nfc_normalize(translate(v, '{_SURE}ї', '{_TO}ï')) ELSE v END AS w FROM b)
-SELECT DISTINCT record_table, record_id, w AS plain_text FROM c WHERE w <> text"""
+o AS (SELECT DISTINCT text, regexp_replace(regexp_replace(text, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{206F}}\x{{FEFF}}]', '', 'g'), '\p{{Zs}}', ' ', 'g') AS u FROM t WHERE regexp_matches(text, '[^ -~]')),
+b AS (SELECT text, nfc_normalize(translate(replace(replace(replace(replace(replace(u, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_WIDE}', '{_FULL}')) AS v FROM o),
+c AS (SELECT *, {_FOREIGN.format("v", _SURE + "ї")} AS all_sure, {_FOREIGN.format("v", _SURE + _WEAK + "ї")} AS alike, string_split(v, ' ') AS ts FROM b),
+k AS (SELECT text, all_sure, unnest(ts) AS token, unnest(range(len(ts))) AS i FROM c WHERE alike),
+f AS (SELECT *, length(regexp_replace(token, '\P{{Latin}}', '', 'g')) AS latin, length(regexp_replace(token, '\P{{L}}', '', 'g')) AS letters, {_FOREIGN.format("token", _SURE + "ї")} AS sure, nfc_normalize(translate(token, '{_SURE}{_WEAK}ї', '{_TO}{_WEAK_TO}ï')) AS fixed FROM k),
+w AS (SELECT DISTINCT lower(regexp_replace(x, '^\P{{L}}+|\P{{L}}+$', '', 'g')) AS word FROM (SELECT unnest(string_split_regex(text, '\s+')) AS x FROM (SELECT text FROM t UNION ALL SELECT text FROM blocks)) WHERE regexp_full_match(x, '[!-~\p{{Latin}}]+')),
+r AS (SELECT text, i, CASE WHEN latin = 0 AND all_sure OR latin > 0 AND (sure OR 2 * latin > letters) AND word IS NOT NULL THEN fixed ELSE token END AS y FROM f LEFT JOIN w ON word = lower(regexp_replace(fixed, '^\P{{L}}+|\P{{L}}+$', '', 'g'))),
+p AS (SELECT text, string_agg(y, ' ' ORDER BY i) AS plain FROM r GROUP BY text UNION ALL SELECT text, v FROM c WHERE NOT alike)
+SELECT record_table, record_id, plain AS plain_text FROM t JOIN p USING (text) WHERE plain <> text"""
 
 
 def queries() -> dict:
