@@ -1,14 +1,20 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Per document the share of words that stand in lists is measured: anchor texts
-and bare links, tags and slugs, and lines of words without sentence or code
-structure (list density); and how much these words repeat. From the same words
-phrase shingles of SHINGLE words (order within a shingle doesn't count, as
-stuffed pages shuffle their keywords) are exploded, and the distinct sources of
-each are counted over all documents; a page's replicated share is the part of
-its shingles that stand in at least HOSTS sources. A page is spam if it consists
-mainly of repeated list words, or to a good part of list words that are mostly
-stitched from replicated phrases.
+Spam of this kind is stitched from phrases that stand elsewhere too: the same
+few keywords, names of places and words of praise in ever new order. The words
+of a page that stand in lists (anchor texts, tags and slugs, lines of words
+without sentence or code structure) are exploded into phrase shingles of SHINGLE
+words, and the distinct hosts (repositories) of each are counted over all
+documents. Order within a shingle doesn't count, nor repetition, as stuffed
+pages shuffle. A phrase is replicated if it stands on HOSTS hosts or more, or
+again on its page. A page's stitched share is the part of its list words that
+replicated phrases cover.
+
+That alone can't tell spam: vendored code and notices are replicated more than
+spam is. So it is joined with list density, the share of list words (and links)
+in all words. Dense pages are spam if they are stitched; lists of bare links and
+of glued tags hold no phrases, so dense ones are spam by what links and tags
+make up.
 
 Null, empty and wordless texts are no spam; very long texts are read whole;
 repeated doc_ids count once. A null source counts as a source of its own.
@@ -21,6 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +35,8 @@ from pyspark.sql import functions as F
 
 from quireloom.session import cut
 
-SHINGLE, HOSTS = 5, 3
-MAINLY, REPEATED, PARTLY, STITCHED, LEAST_WORDS = 0.5, 0.35, 0.35, 0.6, 8
+SHINGLE, HOSTS = 5, 2
+DENSE, STITCHED, LINKED, TAGGED, LEAST_WORDS = 0.5, 0.5, 0.3, 0.5, 16
 
 # Words that sentences of the common languages can't do without.
 FUNCTION_WORDS = frozenset(
@@ -104,39 +111,57 @@ def list_words(text: str) -> tuple[float, float, float, list[str]]:
     return total, listed, tagged, out
 
 
-_SCHEMA = "doc_id long, source string, n_words double, n_listed double, n_tagged double, n_list_words int, distinct_share double, link_share double, shingles array<long>"
+_SCHEMA = "doc_id long, source string, n_words double, n_listed double, n_tagged double, n_linked double, shingles array<long>"
+
+
+def phrases(ws: list[str]) -> list[str]:
+    """The phrase of each place of a list of words, of SHINGLE words from there on; plurals and order don't count."""
+    stems = [w[:-1] if len(w) > 4 and w.endswith("s") else w for w in ws]
+    return [" ".join(sorted(set(stems[i : i + SHINGLE]))) for i in range(len(stems) - SHINGLE + 1)]
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    signed = lambda s: xxhash.xxh3_64_intdigest(s.encode()) - (1 << 63)
+    number = lru_cache(100_000)(lambda s: xxhash.xxh3_64_intdigest(s.encode()) - (1 << 63))
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
             total, listed, tagged, ws = list_words(r.text)
-            stems = [w[:-1] if len(w) > 4 and w.endswith("s") else w for w in ws]
-            sh = {" ".join(sorted(set(stems[i : i + SHINGLE]))) for i in range(len(stems) - SHINGLE + 1)}
-            links = 2.0 * len(_LINK.findall(r.text))
-            rows.append((r.doc_id, r.source, total, listed, tagged, len(ws), len(set(stems)) / len(ws) if ws else 1.0, min(1.0, links / total) if total else 0.0, [signed(x) for x in sorted(sh)]))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "n_words", "n_listed", "n_tagged", "n_list_words", "distinct_share", "link_share", "shingles"])
+            if listed:
+                rows.append((r.doc_id, r.source, total, listed, tagged, 2.0 * len(_LINK.findall(r.text)), [number(x) for x in phrases(ws)]))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "n_words", "n_listed", "n_tagged", "n_linked", "shingles"])
+
+
+def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The share of a page's list words that replicated phrases cover."""
+    for b in batches:
+        out = []
+        for sh, known in zip(b.shingles, b.known, strict=True):
+            ids, at, n = np.unique(np.asarray(sh, np.int64), return_inverse=True, return_counts=True)
+            hit = ((n >= 2) | np.isin(ids, np.asarray(known, np.int64)))[at]
+            edge = np.zeros(len(hit) + SHINGLE, np.int32)
+            edge[: len(hit)] += hit
+            edge[SHINGLE:] -= hit
+            out.append(float((np.cumsum(edge)[:-1] > 0).mean()) if len(hit) else 0.0)
+        yield b[["doc_id"]].assign(stitched=out)
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """Per document with words in lists: the measures and replicated, the share of its shingles that stand in HOSTS sources."""
-    d = docs.where(F.length(F.trim("text")) > 0).select("doc_id", F.coalesce("source", F.lit("?")).alias("source"), "text").dropDuplicates(["doc_id"])
-    m = cut(d.mapInPandas(_measure, _SCHEMA).where(F.col("n_listed") > 0))
-    sh = m.select("doc_id", "source", F.explode("shingles").alias("shingle"))
-    many = sh.select("source", "shingle").distinct().groupBy("shingle").agg(F.count("source").alias("hosts")).where(F.col("hosts") >= HOSTS)
-    n = sh.join(many, "shingle").groupBy("doc_id").agg(F.count("*").alias("n_replicated"))
-    share = F.coalesce("n_replicated", F.lit(0)) / F.greatest(F.size("shingles"), F.lit(1))
-    return m.join(n, "doc_id", "left").withColumns({"replicated": share, "density": F.col("n_listed") / F.greatest("n_words", F.lit(1.0))}).drop("shingles", "n_replicated")
+    """Per document with words in lists: the measures, density, and stitched for the dense ones (else null)."""
+    d = docs.where(F.length(F.trim("text")) > 0).select("doc_id", F.coalesce("source", F.lit("?")).alias("source"), "text")
+    m = cut(d.mapInPandas(_measure, _SCHEMA).dropDuplicates(["doc_id"]).withColumn("density", F.col("n_listed") / F.col("n_words")))
+    dense = m.where((F.col("density") >= DENSE) & (F.col("n_listed") >= LEAST_WORDS))
+    sh = m.select("source", F.explode(F.array_distinct("shingles")).alias("shingle")).distinct()
+    many = sh.groupBy("shingle").agg(F.count("source").alias("hosts")).where(F.col("hosts") >= HOSTS).select("shingle")
+    known = dense.select("doc_id", F.explode(F.array_distinct("shingles")).alias("shingle")).join(many, "shingle").groupBy("doc_id").agg(F.collect_list("shingle").alias("known"))
+    none = F.array().cast("array<long>")
+    share = dense.select("doc_id", "shingles").join(known, "doc_id", "left").withColumn("known", F.coalesce("known", none)).mapInPandas(_cover, "doc_id long, stitched double")
+    return m.drop("shingles").join(share, "doc_id", "left")
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:
     """evidence with spam."""
-    repeated = 1 - F.col("distinct_share")
-    mainly = (F.col("density") >= MAINLY) & (F.col("n_listed") >= 2 * LEAST_WORDS) & ((repeated >= REPEATED) | (F.col("link_share") >= 0.3) | (F.col("n_tagged") >= MAINLY * F.col("n_words")))
-    stitched = (F.col("density") >= PARTLY) & (F.col("replicated") >= STITCHED) & (F.col("n_list_words") >= 4 * LEAST_WORDS) & (repeated >= REPEATED)
-    return evidence(docs).withColumn("spam", mainly | stitched)
+    linked, tagged = F.col("n_linked") >= LINKED * F.col("n_words"), F.col("n_tagged") >= TAGGED * F.col("n_words")
+    return evidence(docs).withColumn("spam", F.col("stitched").isNotNull() & ((F.col("stitched") >= STITCHED) | linked | tagged))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

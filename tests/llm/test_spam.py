@@ -1,3 +1,5 @@
+import random
+
 from quireloom.llm import spam as S
 
 KEY = "cheap lamp deal lamp best lamp cheap price lamp " * 12
@@ -22,9 +24,32 @@ def test_pages(spark, tmp_path):
 
 
 def test_hosts_are_counted_once(spark):
-    docs = spark.createDataFrame([(i, KEY + f" extra{c} words{c} here{c}", f"s{i % 3}") for i, c in enumerate("abcdef")] + [(9, "blue kettle offer kettle blue offer red kettle offer " * 5, "s9")], "doc_id long, text string, source string")
-    e = {r.doc_id: r.replicated for r in S.evidence(docs).collect()}
-    assert all(e[i] > 0.5 for i in range(6)) and e[9] == 0
+    words = [f"{a}{c}" for c in "bcdfghjk" for a in ("lamo", "rite", "pask")]
+    docs = spark.createDataFrame([(i, " ".join(words[i:] + words[:i]), f"s{i % 2}") for i in range(6)] + [(9, " ".join(w[::-1] for w in words), "s9"), (10, " ".join(w[::-1] for w in words), "s9")], "doc_id long, text string, source string")
+    e = {r.doc_id: r.stitched for r in S.evidence(docs).collect()}
+    assert all(e[i] > 0.9 for i in range(6)) and e[9] == e[10] == 0, e
+
+
+def test_stitched_share_against_brute_force(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("lamp deal best cheap offer price kettle blue".split() + [f"own{chr(97 + i)}", f"rare{chr(97 + i)}"]) for _ in range(r.randint(16, 50))), f"s{i % 5}") for i in range(20)]
+    hosts, want = {}, {}
+    ph = {i: S.phrases(t.split()) for i, t, _ in docs}
+    for i, _, s in docs:
+        for x in ph[i]:
+            hosts.setdefault(x, set()).add(s)
+    for i, t, _ in docs:
+        cover = {j + k for j, x in enumerate(ph[i]) if len(hosts[x]) >= S.HOSTS or ph[i].count(x) >= 2 for k in range(S.SHINGLE)}
+        want[i] = len(cover) / len(t.split())
+    got = {r.doc_id: r.stitched for r in S.evidence(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_rows_hang_on_phrases(spark, tmp_path, monkeypatch):
+    rows = [(i, t, f"s{i % 4}") for i, t in {**SPAM, **FINE}.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(S, "STITCHED", 1.1)  # as if no phrase were replicated
+    assert {r.doc_id for r in S.p9_found(spark, str(tmp_path)).collect()} == {3, 4, 5, 7}  # lists of links and tags
 
 
 def test_empty(spark, tmp_path):
