@@ -69,17 +69,16 @@ def unit_of(text: Column) -> Column:
     return let(t, lambda t: let(split(t), read))
 
 
-def unit_in_cell(text: Column) -> Column:
-    """The unit printed around the number of a table cell."""
-    t = F.regexp_replace(text, "'000", " thousand ")
-    return unit_of(F.regexp_replace(t, NUMBER, " "))
+def around_number(text: Column) -> Column:
+    """What a table cell prints around its number."""
+    return F.regexp_replace(F.regexp_replace(text, "'000", " thousand "), NUMBER, " ")
 
 
-def unit_in_header(text: Column) -> Column:
-    """The unit of a header such as 'All figures in EURm', 'Currency: EUR', 'Name, bps', '(GBP m)'."""
+def after_title(text: Column) -> Column:
+    """What a header says of units: 'All figures in EURm', 'Currency: EUR', 'Name, bps', '(GBP m)'."""
     t = F.regexp_replace(text, r"^.*,\s*", "")
     t = F.regexp_replace(F.trim(t), r"(?i)^\(?\s*(?:all )?(?:figures|values|amounts|numbers|units?|currency)?\s*(?:are\s+)?(?:in\b|:)?\s*", "")
-    return unit_of(t)
+    return t
 
 
 def number_in(text: Column) -> Column:
@@ -89,64 +88,64 @@ def number_in(text: Column) -> Column:
     return let(raw, lambda raw: F.when(raw.rlike(r"[-−(]"), -n(raw)).otherwise(n(raw)))
 
 
-def completed(own: Column, *others: Column) -> Column:
-    """own's unit; what it leaves open (all of it, or the currency) is taken from the others in order."""
-    stated = lambda u: u["cur"].isNotNull() | u["scale"].isNotNull() | u["ratio"].isNotNull()
-
-    def fill(chain: Column) -> Column:
-        told = F.filter(chain, stated)
-        money = F.filter(chain, lambda u: u["cur"].isNotNull())
-        return let(F.struct(told.alias("told"), money.alias("money")), lambda w: F.when(F.size(w["told"]) > 0, F.struct(
-            F.get(w["money"], F.lit(0))["cur"].alias("cur"),
-            F.get(w["money"], F.lit(0))["part"].alias("part"),
-            w["told"][0]["scale"].alias("scale"),
-            w["told"][0]["ratio"].alias("ratio"),
-        )))
-
-    return let(F.array(own, *others), fill)
-
-
 def milli_factor(unit: Column, quantity: Column) -> Column:
-    """decimal(16,3): amount in the common unit x 1000 of one recorded unit; null if the unit doesn't fit the quantity.
+    """decimal(24,5): amount in the common unit x 1000 of one recorded unit; null if the unit doesn't fit the quantity.
 
     quantity: money (common unit is a million), per_share or price (one), ratio (per cent).
     """
-    dec = lambda c: c.cast("decimal(16,3)")
+    dec = lambda c: c.cast("decimal(18,3)")
     scale, part = dec(F.coalesce(unit["scale"], F.lit("1"))), dec(unit["part"])
-    money = (scale * part / F.lit(1000)).cast("decimal(16,3)")
-    single = (scale * part * F.lit(1000)).cast("decimal(16,3)")
-    ratio = (dec(unit["ratio"]) * F.lit(1000)).cast("decimal(16,3)")
+    money = (scale * part / F.lit(1000)).cast("decimal(24,5)")
+    single = (scale * part * F.lit(1000)).cast("decimal(24,5)")
+    ratio = (dec(unit["ratio"]) * F.lit(1000)).cast("decimal(24,5)")
     return F.when(quantity == "money", money).when(quantity.isin("per_share", "price"), single).when(quantity == "ratio", ratio)
 
 
-def choose_by_identities(candidates: dict[str, Column], residual: Callable[[dict[str, Column]], Column], tolerance: float = 1e-6) -> Column:
+def candidate_factors(quantity: Column, scale: Column, scale_told: Column) -> Column:
+    """array<decimal(24,5)>: the milli factors that a value of this quantity may have.
+
+    Every scale and part of a currency unit (or every kind of ratio) where
+    scale_told is false; else only those of the scale told.
+    """
+    d = F.lit(None).cast("string")
+    one = lambda s, p, r: milli_factor(F.struct(s.alias("scale"), p.alias("part"), r.alias("ratio")), quantity)
+    parts = [F.lit("1"), F.lit("0.01")]
+    every = F.array(*[one(F.lit(s), p, d) for s in ["1", *SCALES] for p in parts])
+    ratios = F.array(*[one(d, d, F.lit(r)) for r in RATIOS])
+    return F.when(quantity == "ratio", ratios).when(scale_told, F.array(*[one(scale, p, d) for p in parts])).otherwise(every)
+
+
+def choose_by_identities(
+    candidates: dict[str, Column], residual: Callable[[dict[str, Column]], Column], match: float = float("inf"), prefer: Callable[[dict[str, Column]], Column] | None = None, solution: Callable[[dict[str, Column]], Column] | None = None, tolerance: float = 1e-6
+) -> Column:
     """struct<residual, n_best, pick_<name>...>: the combination of one candidate per quantity with the least residual.
 
     candidates: an array column per quantity (bounded: the readings of one row);
     residual: from one candidate of each, the sum of |log| deviations of the
-    physical identities, null where an identity can't be evaluated. Ties go to
-    the earlier candidates, and n_best counts the combinations within the
-    tolerance of the best: more than one flags a solution that isn't unique.
-    Empty or null candidate arrays give null.
+    physical identities, null where none can be evaluated. A residual above match
+    contradicts a combination. Of equals, and where all are contradicted, the
+    least value of prefer wins, then the earlier candidates. n_best counts the
+    different solutions (by default, combinations) within the tolerance of the
+    best: more than one flags a solution that isn't unique. Empty or null
+    candidate arrays give null.
     """
-    names = list(candidates)
+    names, inf = list(candidates), F.lit(float("inf"))
+    of = solution or (lambda p: F.struct(*[p[n].alias(n) for n in names]))
 
     def combos(left: list[str], picked: dict[str, Column], at: list[Column]) -> Column:
-        if not left:
-            r = F.coalesce(residual(picked).cast("double"), F.lit(float("inf")))
-            order = F.array(*at)
-            return F.array(F.struct(r.alias("residual"), order.alias("at"), *[picked[n].alias(f"pick_{n}") for n in names]))
-        n = left[0]
-        return F.flatten(F.transform(candidates[n], lambda x, i: combos(left[1:], picked | {n: x}, [*at, i])))
+        if left:
+            return F.flatten(F.transform(candidates[left[0]], lambda x, i: combos(left[1:], picked | {left[0]: x}, [*at, i])))
+        r = F.coalesce(residual(picked).cast("double"), inf)
+        second = F.round(F.coalesce(prefer(picked).cast("double"), inf), 9) if prefer else F.lit(0.0)
+        return F.array(F.struct(F.when(r <= match, F.round(r, 9)).otherwise(inf).alias("rank"), second.alias("second"), F.array(*at).alias("at"), r.alias("residual"), of(picked).alias("solution"), *[picked[n].alias(f"pick_{n}") for n in names]))
 
     def pick(every: Column) -> Column:
-        best = F.array_min(F.transform(every, lambda c: F.struct(c["residual"].alias("residual"), c["at"].alias("at"))))
-        same = lambda best: F.filter(every, lambda c: c["residual"] <= best["residual"] + F.lit(tolerance))
-        return F.when(F.size(every) > 0, let(best, lambda best: F.struct(
-            best["residual"].alias("residual"),
-            F.size(F.array_distinct(F.transform(same(best), lambda c: F.struct(*[c[f"pick_{n}"].alias(n) for n in names])))).alias("n_best"),
-            *[F.filter(every, lambda c: c["at"] == best["at"])[0][f"pick_{n}"].alias(f"pick_{n}") for n in names],
-        )))
+        def best_of(best: Column) -> Column:
+            equal = F.filter(every, lambda c: (c["rank"] <= best["rank"] + F.lit(tolerance)) & ((best["rank"] < inf) | (c["second"] <= best["second"] + F.lit(tolerance))))
+            n = F.size(F.array_distinct(F.transform(equal, lambda c: c["solution"])))
+            return F.struct(best["residual"].alias("residual"), n.alias("n_best"), *[best[f"pick_{n}"].alias(f"pick_{n}") for n in names])
+
+        return F.when(F.size(every) > 0, let(F.array_min(every), best_of))
 
     return let(combos(names, {}, []), pick)
 

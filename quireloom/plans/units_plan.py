@@ -3,112 +3,172 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireloom.operators import units as U
-from quireloom.session import table
+from quireloom.session import cut, table
 
-# "from A to B" and "goes to B from A"; a figure ends before a clause, never inside a number.
+# A figure is one number with what stands around it, up to the next clause.
+_FIGURE = rf"([^\d\n]*?(?:'000[^\d\n]*?)?{U.NUMBER}(?:[^\d\n]*?'000)?[^\d\n]*?)"
 _END = r"(?=\s+on new inputs|\s+by\s|[,;](?:\s|$)|\.(?:\s|$)|\s*$)"
-FROM_TO = rf"(?i)\bfrom\s+(.{{1,60}}?)\s+to\s+(.{{1,60}}?){_END}"
-TO_FROM = rf"(?i)\bto\s+(.{{1,60}}?)\s+from\s+(.{{1,60}}?){_END}"
+FROM_TO, TO_FROM = rf"(?i)\bfrom\s+{_FIGURE}\s+to\s+{_FIGURE}{_END}", rf"(?i)\bto\s+{_FIGURE}\s+from\s+{_FIGURE}{_END}"
 
+MATCH = 1e-6  # log residual up to which a sentence's figures are those of a revision
+AGREE = 0.005  # and up to which a cell's figure can be its value (printed figures are rounded)
 
-def _dedup(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*cols).distinct()
 
+def unit_table(texts: list[Column | DataFrame]) -> DataFrame:
+    """(unit_text, u): each distinct text is read once."""
+    every = reduce(DataFrame.unionByName, texts).where(F.col("unit_text").isNotNull()).distinct()
+    return cut(every.withColumn("u", U.unit_of(F.col("unit_text"))))
+
+
+def with_units(df: DataFrame, units: DataFrame, **names: str) -> DataFrame:
+    """df with the unit read from each text column: name=column."""
+    for name, c in names.items():
+        df = df.join(units.select(F.col("unit_text").alias(c), F.col("u").alias(name)), c, "left")
+    return df
+
+
+def _texts(df: DataFrame, *columns: str) -> list[DataFrame]:
+    return [df.select(F.col(c).alias("unit_text")) for c in columns]
+
+
+def _told(u: str) -> Column:
+    return F.coalesce(F.col(u)["cur"].isNotNull() | F.col(u)["scale"].isNotNull() | F.col(u)["ratio"].isNotNull(), F.lit(False))
+
+
+def _completed(first: str, second: str) -> Column:
+    """first's unit; scale and ratio from second if first states nothing, the currency too if it states none."""
+    got = lambda c: F.when(_told(first), F.col(first)[c]).otherwise(F.col(second)[c])
+    money = lambda c: F.when(F.col(first)["cur"].isNotNull(), F.col(first)[c]).otherwise(F.col(second)[c])
+    return F.struct(money("cur").alias("cur"), money("part").alias("part"), got("scale").alias("scale"), got("ratio").alias("ratio"))
 
-def parsed_readings(values: DataFrame) -> DataFrame:
-    """Per parsed value the readings of its unit: recorded and printed, as candidate arrays."""
-    own, raw, head = U.unit_of(F.col("unit")), U.unit_in_cell(F.col("raw_text")), U.unit_in_header(F.col("header_text"))
-    v = U.once(values.where(F.col("value").isNotNull()), "w", F.struct(own.alias("own"), raw.alias("raw"), head.alias("head")))
-    rec = U.completed(F.col("w.own"), F.col("w.raw"), F.col("w.head"))
-    prt = U.completed(F.col("w.raw"), F.col("w.head"), F.col("w.own"))
-    v = U.once(v, "r", F.struct(rec.alias("rec"), prt.alias("prt"), U.number_in(F.col("raw_text")).alias("figure"), F.lit(None).cast("decimal(30,6)").alias("none")))
-    pair = lambda u, new: F.struct(F.col(u).alias("u"), F.col("r.none").alias("old"), new.cast("decimal(30,6)").alias("new"))
-    return v.where(F.col("r.rec").isNotNull()).select(
-        "*", F.array("r.rec").alias("cands"), F.array(pair("r.prt", F.col("r.figure")), pair("r.rec", F.col("value"))).alias("printed"),
-        F.lit(None).cast("decimal(20,6)").alias("old"), F.col("value").alias("new"),
-    )
 
+def _reading(u: Column, old: Column, new: Column) -> Column:
+    return F.struct(u["cur"].alias("cur"), U.milli_factor(u, F.col("quantity")).alias("factor"), old.cast("double").alias("old"), new.cast("double").alias("new"))
 
-def sentence_figures(text: Column) -> Column:
-    """array<struct<u, old, new>>: the pairs of figures that a block's lines print, with their unit."""
-    def pair(line: Column, pattern: str, a: int, b: int) -> Column:
-        old, new = F.regexp_extract(line, pattern, a), F.regexp_extract(line, pattern, b)
-        return U.let(F.struct(old.alias("o"), new.alias("n")), lambda f: F.struct(U.completed(U.unit_in_cell(f["o"]), U.unit_in_cell(f["n"])).alias("u"), U.number_in(f["o"]).alias("old"), U.number_in(f["n"]).alias("new")))
 
-    lines = F.split(text, r"\n")
-    found = F.flatten(F.transform(lines, lambda x: F.array(pair(x, FROM_TO, 1, 2), pair(x, TO_FROM, 2, 1))))
-    return F.filter(found, lambda p: p["new"].isNotNull() & p["u"].isNotNull())
+def _with_metric(df: DataFrame, metric_units: DataFrame) -> DataFrame:
+    """df with the quantity and common unit of its metric, null if it isn't listed."""
+    return df.join(metric_units.groupBy("metric").agg(F.first("quantity").alias("quantity"), F.first("common_unit").alias("common_form")), "metric", "left")
 
 
-def revision_readings(revisions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per revision the readings of its unit; only rows whose unit leaves something open look up their block."""
-    r = revisions.where(F.col("old_value").isNotNull() | F.col("new_value").isNotNull())
-    r = U.once(r.withColumns({"old": F.col("old_value"), "new": F.col("new_value")}), "own", U.unit_of(F.col("unit")))
-    closed = F.coalesce(F.col("own")["ratio"].isNotNull() | F.col("own")["cur"].isNotNull(), F.lit(False))
-    empty = F.lit(None).cast("array<struct<u:struct<cur:string,part:string,scale:string,ratio:string>,old:decimal(30,6),new:decimal(30,6)>>")
-    done = r.where(closed).withColumns({"cands": F.array(F.col("own")), "printed": empty})
-    todo = r.where(~closed).withColumn("block_id", F.explode(F.flatten(F.transform("evidence", lambda e: F.coalesce(e["block_ids"], F.array().cast("array<string>"))))))
-    texts = _dedup(blocks.where(F.col("text").rlike(r"(?i)\bfrom\b")), ["document_id", "block_id", "text"])
-    todo = U.once(todo.join(texts, ["document_id", "block_id"]), "printed", sentence_figures(F.col("text")))
-    todo = todo.withColumn("cands", F.transform("printed", lambda p: U.completed(F.col("own"), p["u"])))
-    return done.unionByName(todo, allowMissingColumns=True)
+def parsed_readings(values: DataFrame, metric_units: DataFrame) -> DataFrame:
+    """Per parsed value: own (what its unit says) and readings, what its cell and header print."""
+    v = values.where(F.col("value").isNotNull()).withColumns({"cell": U.around_number(F.col("raw_text")), "head": U.after_title(F.col("header_text")), "figure": U.number_in(F.col("raw_text"))})
+    v = with_units(v, unit_table(_texts(v, "unit", "cell", "head")), own="unit", in_cell="cell", in_head="head")
+    v = _with_metric(v, metric_units).withColumn("printed", _completed("in_cell", "in_head"))
+    printed = _reading(F.col("printed"), F.lit(None), F.col("figure"))
+    return v.select("value_id", "quantity", "common_form", "unit", "own", F.lit(None).cast("decimal(20,6)").alias("old"), F.col("value").alias("new"), F.lit(None).cast("decimal(20,4)").alias("change_pp"), F.array(printed).alias("readings"))
 
 
-def common_amounts(readings: DataFrame, metric_units: DataFrame) -> DataFrame:
-    """Adds choice (see units.choose_by_identities) and factor, the amount x 1000 of one recorded unit.
+def printed_figures(blocks: DataFrame) -> DataFrame:
+    """(document_id, block_id, no, old_unit, new_unit, old, new): the pairs of figures that a block's lines print."""
+    b = blocks.where(F.col("text").rlike(r"(?i)\bfrom\b")).select("document_id", "block_id", "text").distinct()
+    x = b.select("document_id", "block_id", F.posexplode(F.split("text", r"\n")).alias("no", "line"))
+    pair = lambda k, p, a, b: F.struct(F.lit(k).alias("k"), F.regexp_extract("line", p, a).alias("o"), F.regexp_extract("line", p, b).alias("n"))
+    x = x.withColumn("f", F.explode(F.array(pair(0, FROM_TO, 1, 2), pair(1, TO_FROM, 2, 1)))).where(F.length("f.n") > 0)
+    return x.select("document_id", "block_id", (F.col("no") * 2 + F.col("f.k")).alias("no"), U.around_number(F.col("f.o")).alias("old_text"), U.around_number(F.col("f.n")).alias("new_text"), U.number_in(F.col("f.o")).alias("p_old"), U.number_in(F.col("f.n")).alias("p_new"))
 
-    The identity: recorded value x factor of its unit = printed figure x factor
-    of the printed unit, for the old and the new value; the readings with the
-    least log residuals are taken. For open units a printed pair further than
-    one part in 10^6 from the recorded values is none of theirs.
+
+def revision_readings(revisions: DataFrame, blocks: DataFrame, metric_units: DataFrame) -> DataFrame:
+    """Per revision: own and readings, the figures of its sentences in all cited blocks; only what own leaves open is looked up."""
+    r = _with_metric(revisions.where(F.col("old_value").isNotNull() | F.col("new_value").isNotNull()), metric_units)
+    r = r.withColumnsRenamed({"old_value": "old", "new_value": "new", "calculated_change_pp": "change_pp"})
+    figures = cut(printed_figures(blocks))
+    units = unit_table([*_texts(r, "unit"), *_texts(figures, "old_text", "new_text")])
+    r = cut(with_units(r, units, own="unit"))
+    closed = F.coalesce(F.col("own.ratio").isNotNull() | F.col("own.cur").isNotNull(), F.lit(False))
+    cited = F.explode(F.array_distinct(F.flatten(F.transform("evidence", lambda e: F.coalesce(e["block_ids"], F.array().cast("array<string>"))))))
+    todo = r.where(~closed).select("revision_id", "document_id", "quantity", cited.alias("block_id")).distinct()
+    seen = with_units(todo.join(figures, ["document_id", "block_id"]), units, u_old="old_text", u_new="new_text").withColumn("printed", _completed("u_old", "u_new"))
+    seen = seen.where(_told("printed")).withColumn("reading", _reading(F.col("printed"), F.col("p_old"), F.col("p_new")))
+    # The sentences of the blocks that one revision cites.
+    per = seen.groupBy("revision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "no", "reading"))), lambda x: x["reading"]).alias("readings"))
+    return r.join(per, "revision_id", "left").select("revision_id", "quantity", "common_form", "unit", "own", "old", "new", "change_pp", "readings")
+
+
+def chosen(readings: DataFrame, match: float, printed_as_it_is: bool) -> DataFrame:
+    """readings with cur, factor (the amount x 1000 of one recorded unit) and the flags checked, consistent and unique.
+
+    What own states is fixed; open scales, parts of a currency unit and kinds of
+    ratio are all candidates, and a currency is that of a reading. Identities:
+    recorded value x factor = printed figure x its factor, for the old and the
+    new value; and (new - old) x factor = the recorded change in percentage
+    points x 1000. checked: some identity could be evaluated. printed_as_it_is:
+    a reading that contradicts all candidates still states the unit.
     """
-    mu = metric_units.groupBy("metric").agg(F.first("quantity").alias("quantity"), F.first("common_unit").alias("common_form"))
-    j = readings.join(F.broadcast(mu), "metric")  # metric_units is a fixed table of 34 rows
+    told = F.coalesce(F.col("own.scale").isNotNull() | F.col("own.cur").isNotNull(), F.lit(False))
+    closed = F.coalesce(F.col("own.ratio").isNotNull() | F.col("own.cur").isNotNull(), F.lit(False))
+    own = U.milli_factor(F.col("own"), F.col("quantity"))
+    blank = F.array(F.struct(F.lit(None).cast("string").alias("cur"), F.lit(None).cast("decimal(24,5)").alias("factor"), F.lit(None).cast("double").alias("old"), F.lit(None).cast("double").alias("new")))
+    usable = F.filter("readings", lambda e: e["factor"].isNotNull())
+    x = U.once(readings, "x", F.struct(
+        F.when(closed, F.array(own)).otherwise(U.candidate_factors(F.col("quantity"), F.col("own.scale"), told)).alias("factors"),
+        F.when(F.size(usable) > 0, usable).when(closed, blank).alias("readings"),
+    ))
 
     def residual(p: dict[str, Column]) -> Column:
-        rec, prt = U.milli_factor(p["unit"], F.col("quantity")).cast("double"), U.milli_factor(p["printed"]["u"], F.col("quantity")).cast("double")
-        old = U.log_gap(F.col("old").cast("double") * rec, p["printed"]["old"].cast("double") * prt)
-        new = U.log_gap(F.col("new").cast("double") * rec, p["printed"]["new"].cast("double") * prt)
-        both = F.coalesce(old, F.lit(0.0)) + F.coalesce(new, F.lit(0.0))
-        return F.when(old.isNotNull() | new.isNotNull(), both)
-
-    unread = F.array(F.struct(F.lit(None).cast("struct<cur:string,part:string,scale:string,ratio:string>").alias("u"), F.lit(None).cast("decimal(30,6)").alias("old"), F.lit(None).cast("decimal(30,6)").alias("new")))
-    j = U.once(j, "two", F.struct(F.col("cands").alias("cands"), F.when(F.size("printed") > 0, F.col("printed")).otherwise(unread).alias("printed")))
-    choice = U.choose_by_identities({"unit": F.col("two.cands"), "printed": F.col("two.printed")}, residual)
-    j = U.once(j, "choice", choice).where(F.col("choice").isNotNull())
-    return j.withColumn("factor", U.milli_factor(F.col("choice.pick_unit"), F.col("quantity"))).withColumn("consistent", F.col("choice.residual") < 1e-6).withColumn("unique", F.col("choice.n_best") == 1)
+        f, e = p["factor"].cast("double"), p["reading"]
+        at = e["factor"].cast("double")
+        parts = [U.log_gap(F.col("old").cast("double") * f, e["old"] * at), U.log_gap(F.col("new").cast("double") * f, e["new"] * at), F.when(F.col("quantity") == "ratio", U.log_gap((F.col("new") - F.col("old")).cast("double") * f, F.col("change_pp").cast("double") * 1000))]
+        return F.when(F.coalesce(*parts).isNotNull(), reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in parts]))
+
+    far = lambda p: F.abs(F.log(p["factor"].cast("double")) - F.log(p["reading"]["factor"].cast("double")))
+    cur = lambda p: F.when(closed, F.col("own.cur")).otherwise(p["reading"]["cur"])
+    choice = U.choose_by_identities({"factor": F.col("x.factors"), "reading": F.col("x.readings")}, residual, match, far, lambda p: F.struct(p["factor"].alias("f"), cur(p).alias("c")))
+    y = U.once(x, "c", choice)
+    r = F.col("c.residual")
+    checked, consistent = F.coalesce(r < float("inf"), F.lit(False)), F.coalesce(r <= match, F.lit(False))
+    sure = closed | consistent | F.lit(printed_as_it_is)
+    return y.withColumns({
+        "factor": F.when(sure, F.col("c.pick_factor")), "cur": F.when(closed, F.col("own.cur")).otherwise(F.col("c.pick_reading.cur")),
+        "checked": checked, "consistent": F.when(checked, consistent), "unique": F.col("c.n_best") == 1,
+    }).drop("x", "c", "readings")
 
 
 def amounts(spark: SparkSession, d: str) -> DataFrame:
-    """One row per revision or parsed value with a stated unit: its factor, chosen unit and flags."""
-    mu, blocks = table(spark, d, "metric_units"), table(spark, d, "blocks")
-    pv = parsed_readings(_dedup(table(spark, d, "parsed_values"), ["value_id", "metric", "raw_text", "header_text", "value", "unit"]))
-    rv = revision_readings(table(spark, d, "revisions").select("revision_id", "document_id", "metric", "old_value", "new_value", "unit", "evidence").distinct(), blocks)
-    a = common_amounts(pv, mu).select(F.lit("parsed_values").alias("record_table"), F.col("value_id").alias("record_id"), F.array(F.struct(F.lit("value").alias("field"), F.col("value").alias("v"))).alias("fields"), "unit", "choice", "factor", "common_form", "consistent", "unique")
-    b = common_amounts(rv, mu)
-    b = b.where(F.col("consistent") | F.col("own")["cur"].isNotNull() | F.col("own")["ratio"].isNotNull())
-    b = b.select(F.lit("revisions").alias("record_table"), F.col("revision_id").alias("record_id"), F.array(F.struct(F.lit("old_value").alias("field"), F.col("old_value").alias("v")), F.struct(F.lit("new_value").alias("field"), F.col("new_value").alias("v"))).alias("fields"), "unit", "choice", "factor", "common_form", "consistent", "unique")
-    return a.unionByName(b)
+    """One row per revision or parsed value with a value: its unit's factor (null if stated nowhere) and flags."""
+    mu = table(spark, d, "metric_units")
+    pv = table(spark, d, "parsed_values").select("value_id", "metric", "raw_text", "header_text", "value", "unit").distinct()
+    rv = table(spark, d, "revisions").select("revision_id", "document_id", "metric", "old_value", "new_value", "unit", "calculated_change_pp", "evidence").distinct()
+    field = lambda f, c: F.struct(F.lit(f).alias("field"), F.col(c).alias("v"))
+    cols = ["fields", "unit", "quantity", "common_form", "cur", "factor", "checked", "consistent", "unique"]
+    a = chosen(parsed_readings(pv, mu), AGREE, True).withColumn("fields", F.array(field("value", "new"))).select(F.lit("parsed_values").alias("record_table"), F.col("value_id").alias("record_id"), *cols)
+    b = chosen(revision_readings(rv, table(spark, d, "blocks"), mu), MATCH, False).withColumn("fields", F.array(field("old_value", "old"), field("new_value", "new")))
+    return a.unionByName(b.select(F.lit("revisions").alias("record_table"), F.col("revision_id").alias("record_id"), *cols))
+
+
+def _common(a: DataFrame) -> DataFrame:
+    form = F.col("common_form")
+    return a.withColumn("common_unit", F.when(form.contains("CUR"), F.replace(form, F.lit("CUR"), F.col("cur"))).otherwise(form))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """See TESTDATA.md. Values without a stated or readable unit give no row; null values give no row."""
-    a = amounts(spark, d)
-    cur, form = F.col("choice.pick_unit.cur"), F.col("common_form")
-    common = F.when(form.contains("CUR"), F.replace(form, F.lit("CUR"), cur)).otherwise(form)
-    a = a.withColumn("common_unit", common).where(F.col("common_unit").isNotNull() & F.col("factor").isNotNull() & ~F.col("unit").eqNullSafe(F.col("common_unit")))
+    """See TESTDATA.md. Values without a stated or readable unit, or of an unknown metric, give no row (p1_flags counts them); null values give no row."""
+    a = _common(amounts(spark, d)).where(F.col("common_unit").isNotNull() & F.col("factor").isNotNull() & ~F.col("unit").eqNullSafe(F.col("common_unit")))
     x = a.select("record_table", "record_id", "common_unit", "factor", F.explode("fields").alias("f")).where(F.col("f.v").isNotNull())
     milli = F.round(F.col("f.v").cast("decimal(20,6)") * F.col("factor")).cast("bigint")
     return x.select("record_table", "record_id", F.col("f.field").alias("field"), "common_unit", milli.alias("amount_milli")).distinct()
 
 
 def p1_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of records by table and by whether their reading is consistent and unique."""
-    return amounts(spark, d).groupBy("record_table", "consistent", "unique").agg(F.countDistinct("record_id").alias("n_records"))
+    """(record_table, outcome, n_records): how each record's unit was settled.
+
+    unknown_metric, no_unit; of the others contradicted (an identity fails with
+    the unit), not_unique (several solutions fit as well), unchecked (no identity
+    could be evaluated) or consistent.
+    """
+    a = _common(amounts(spark, d))
+    outcome = (
+        F.when(F.col("quantity").isNull(), "unknown_metric").when(F.col("factor").isNull() | F.col("common_unit").isNull(), "no_unit").when(~F.col("unique"), "not_unique")
+        .when(~F.col("checked"), "unchecked").when(F.col("consistent"), "consistent").otherwise("contradicted")
+    )
+    return a.groupBy("record_table", outcome.alias("outcome")).agg(F.countDistinct("record_id").alias("n_records"))
 
 
 def queries() -> dict:
@@ -133,7 +193,7 @@ def oracle_sql() -> dict:
     head = r"regexp_replace(trim(regexp_replace(header_text, '^.*,\s*', '')), '(?i)^\(?\s*(?:all )?(?:figures|values|amounts|numbers|units?|currency)?\s*(?:are\s+)?(?:in\b|:)?\s*', '')"
     figure = lambda x: f"(CASE WHEN regexp_matches(regexp_extract(replace({x}, '''000', ' '), '{num}'), '[(−-]') THEN -1 ELSE 1 END * TRY_CAST(regexp_replace(regexp_extract(replace({x}, '''000', ' '), '{num}'), '[(),+−-]', '', 'g') AS DECIMAL(30,6)))"
     ends = r"(?:\s+on new inputs|\s+by\s|[,;](?:\s|$)|\.(?:\s|$)|\s*$)"
-    ft, tf = rf"(?i)\bfrom\s+(.{{1,60}}?)\s+to\s+(.{{1,60}}?){ends}", rf"(?i)\bto\s+(.{{1,60}}?)\s+from\s+(.{{1,60}}?){ends}"
+    ft, tf = rf"(?i)\bfrom\s+(.+?)\s+to\s+(.+?){ends}", rf"(?i)\bto\s+(.+?)\s+from\s+(.+?){ends}"
     symbols = " ".join(f"WHEN rc = '{k}' THEN '{v}'" for k, v in U.SYMBOLS.items())
     told = lambda a: f"({a}.cur IS NOT NULL OR {a}.scale IS NOT NULL OR {a}.ratio IS NOT NULL)"
     first = lambda f, *ts: "CASE " + " ".join(f"WHEN {told(t)} THEN {t}.{f}" for t in ts) + " END"

@@ -19,13 +19,13 @@ def test_unit_texts(spark, text, want):
 
 @pytest.mark.parametrize(("cell", "cur", "scale"), [("EUR '000 3,319,800", "EUR", "1000"), ("38.5 mEUR", "EUR", "1000000"), ("898p", "GBP", None), ("GBP (9.9)m", "GBP", "1000000"), ("9 US cents", "USD", None)])
 def test_cells(spark, cell, cur, scale):
-    u = spark.range(1).select(U.unit_in_cell(F.lit(cell)).alias("u")).collect()[0].u
+    u = spark.range(1).select(U.unit_of(U.around_number(F.lit(cell))).alias("u")).collect()[0].u
     assert (u.cur, u.scale) == (cur, scale)
 
 
 @pytest.mark.parametrize(("head", "cur", "ratio"), [("All figures in EURm", "EUR", None), ("Currency: GBP", "GBP", None), ("Some Name, bps", None, "0.01"), ("(USDm)", "USD", None), ("in %", None, "1")])
 def test_headers(spark, head, cur, ratio):
-    u = spark.range(1).select(U.unit_in_header(F.lit(head)).alias("u")).collect()[0].u
+    u = spark.range(1).select(U.unit_of(U.after_title(F.lit(head))).alias("u")).collect()[0].u
     assert (u.cur, u.ratio) == (cur, ratio)
 
 
@@ -39,19 +39,28 @@ def test_identities_choose_the_density_units(spark):
     assert (r[1].pick_m.unit, r[1].pick_v.unit, r[1].n_best) == ("kg", "l", 1) and r[2].n_best == 2 and r[3].residual == float("inf") and r[4] is None
 
 
-def test_p1(spark, tmp_path):
+def test_p1(spark, tmp_path, monkeypatch):
     mu = [("ebit", "money", "CURm"), ("eps", "per_share", "CUR/share"), ("ebit_margin", "ratio", "%"), ("target_price", "price", "CUR")]
     spark.createDataFrame(mu, "metric string, quantity string, common_unit string").write.parquet(f"{tmp_path}/metric_units.parquet")
     D = Decimal
     pv = [(1, "ebit", "552.279m", "Currency: EUR", D("552.279"), "m"), (2, "ebit", "GBP 143,085,000", None, D("143085000"), "GBP"), (3, "ebit", "5", None, D("5"), None), (4, "eps", "898p", None, D("898"), "GBp"), (5, "ebit_margin", "12", "in bps", D("12"), None), (6, "ebit", "EUR 5m", None, D("5"), "EURm"),
           (7, "ebit", "n.m.", None, None, None), (8, "ebit", "2169179k", "GBP", D("2169179"), None), (1, "ebit", "552.279m", "Currency: EUR", D("552.279"), "m"), (9, "other", "5", "in %", D("5"), None), (10, None, None, None, D("1"), "EURm")]
     spark.createDataFrame([(*x, 0) for x in pv], "value_id long, metric string, raw_text string, header_text string, value decimal(20,6), unit string, factor int").write.parquet(f"{tmp_path}/parsed_values.parquet")
-    rv = "revision_id long, document_id string, metric string, old_value decimal(20,6), new_value decimal(20,6), unit string, evidence array<struct<page_number:int,block_ids:array<string>>>"
+    rv = "revision_id long, document_id string, metric string, old_value decimal(20,6), new_value decimal(20,6), unit string, evidence array<struct<page_number:int,block_ids:array<string>>>, calculated_change_pp decimal(20,4)"
     ev = lambda b: [(1, [b])]
-    spark.createDataFrame([(1, "d", "ebit", D("12.754"), D("14.12"), None, ev("b1")), (2, "d", "ebit", None, D("7"), None, ev("b1")), (3, "d", "target_price", D("47200"), D("59690"), "pence", ev("none")), (4, "d", "ebit", D("1"), D("2"), None, ev("b2")), (5, "d", "ebit", D("1"), D("2"), None, None)], rv).write.parquet(f"{tmp_path}/revisions.parquet")
-    spark.createDataFrame([("d", "b1", "We raised EBIT FY2026E from ¥12.754m to ¥14.12m.\nWe cut sales from EUR 3bn to EUR 2bn."), ("d", "b2", "We raised EBIT from 1 to 2."), ("d", "b3", None)], "document_id string, block_id string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    rows = [(1, "d", "ebit", D("12.754"), D("14.12"), None, ev("b1")), (2, "d", "ebit", None, D("7"), None, ev("b1")), (3, "d", "target_price", D("47200"), D("59690"), "pence", ev("none")), (4, "d", "ebit", D("1"), D("2"), None, ev("b2")), (5, "d", "ebit", D("1"), D("2"), None, None),
+            (6, "d", "ebit", D("12754"), D("14120"), None, ev("b1")), (7, "d", "ebit_margin", D("0.1"), D("0.12"), None, ev("b4"), D("2")), (8, "d", "ebit", D("4"), D("5"), None, [(1, ["b5"]), (2, ["b6"])])]
+    spark.createDataFrame([(*x, None)[:8] for x in rows], rv).write.parquet(f"{tmp_path}/revisions.parquet")
+    spark.createDataFrame([("d", "b1", "We raised EBIT FY2026E from ¥12.754m to ¥14.12m.\nWe cut sales from EUR 3bn to EUR 2bn."), ("d", "b2", "We raised EBIT from 1 to 2."), ("d", "b3", None), ("d", "b4", "margin from 10% to 12%"), ("d", "b5", "EBIT from EUR 4m to EUR 5m."), ("d", "b6", "EBIT from USD 4m to USD 5m.")], "document_id string, block_id string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
     got = {(r.record_table[0], r.record_id, r.field[:3]): (r.common_unit, r.amount_milli) for r in units_plan.p1_found(spark, str(tmp_path)).collect()}
-    assert got == {("p", 1, "val"): ("EURm", 552279), ("p", 2, "val"): ("GBPm", 143085), ("p", 4, "val"): ("GBP/share", 8980), ("p", 5, "val"): ("%", 120), ("p", 8, "val"): ("GBPm", 2169179), ("r", 1, "old"): ("JPYm", 12754), ("r", 1, "new"): ("JPYm", 14120), ("r", 3, "old"): ("GBP", 472000), ("r", 3, "new"): ("GBP", 596900)}
+    assert got == {("p", 1, "val"): ("EURm", 552279), ("p", 2, "val"): ("GBPm", 143085), ("p", 4, "val"): ("GBP/share", 8980), ("p", 5, "val"): ("%", 120), ("p", 8, "val"): ("GBPm", 2169179), ("r", 1, "old"): ("JPYm", 12754), ("r", 1, "new"): ("JPYm", 14120), ("r", 3, "old"): ("GBP", 472000), ("r", 3, "new"): ("GBP", 596900),
+                   # Chosen by residuals: the recorded scale is none that is printed; two cited blocks fit equally well.
+                   ("r", 6, "old"): ("JPYm", 12754), ("r", 6, "new"): ("JPYm", 14120), ("r", 7, "old"): ("%", 10000), ("r", 7, "new"): ("%", 12000), ("r", 8, "old"): ("EURm", 4000), ("r", 8, "new"): ("EURm", 5000)}
+    flags = {(r.record_table[0], r.outcome): r.n_records for r in units_plan.p1_flags(spark, str(tmp_path)).collect()}
+    assert flags == {("p", "consistent"): 6, ("p", "no_unit"): 1, ("p", "unknown_metric"): 2, ("r", "consistent"): 3, ("r", "not_unique"): 1, ("r", "unchecked"): 1, ("r", "no_unit"): 3}
+    # The same candidates without the identities give other amounts.
+    monkeypatch.setattr(U, "log_gap", lambda a, b: F.lit(0.0))
+    assert {(r.record_table[0], r.record_id, r.field[:3]): (r.common_unit, r.amount_milli) for r in units_plan.p1_found(spark, str(tmp_path)).collect()} != got
 
 
 T0 = dt.datetime(2025, 1, 1)
