@@ -30,10 +30,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references per table and month, and how many lie beyond every run of their document's keys."""
+    """Orphan references per table and month: how many lie beyond every run of their document's keys, and how many in runs that didn't live then."""
     o = p2_orphans(spark, d).withColumn("ref_period", F.date_format("recorded_at", "yyyy-MM"))
     beyond = F.sum(F.when(F.col("in_run"), 0).otherwise(1)).cast("bigint")
-    return o.groupBy("record_table", "ref_period").agg(F.count("*").alias("n_orphans"), beyond.alias("n_beyond_runs"))
+    dead = F.sum(F.when(F.col("in_run") & ~F.col("in_life"), 1).otherwise(0)).cast("bigint")
+    return o.groupBy("record_table", "ref_period").agg(F.count("*").alias("n_orphans"), beyond.alias("n_beyond_runs"), dead.alias("n_late_or_deleted"))
 
 
 def queries() -> dict:
@@ -49,6 +50,7 @@ _NUMBER = "TRY_CAST(nullif(regexp_extract({0}, '^p[0-9]+-b([0-9]{{1,15}})-[0-9a-
 def oracle_sql() -> dict:
     return {
         "p2_found": f"SELECT DISTINCT record_table, record_id, block_id, strftime(recorded_at, '%Y-%m') AS ref_period {_ORPHANS}",
-        "p2_report": f"""SELECT record_table, ref_period, count(*) AS n_orphans, CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_beyond_runs FROM (
-SELECT record_table, strftime(recorded_at, '%Y-%m') AS ref_period, EXISTS (SELECT 1 FROM blocks c WHERE c.document_id = r.document_id AND {_NUMBER.format('c.block_id')} = {_NUMBER.format('r.block_id')}) AS inside {_ORPHANS}) GROUP BY 1, 2""",
+        "p2_report": f"""SELECT record_table, ref_period, count(*) AS n_orphans, CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_beyond_runs, CAST(sum(CASE WHEN inside AND NOT living THEN 1 ELSE 0 END) AS BIGINT) AS n_late_or_deleted FROM (
+SELECT record_table, strftime(recorded_at, '%Y-%m') AS ref_period, EXISTS (SELECT 1 FROM blocks c WHERE c.document_id = r.document_id AND {_NUMBER.format('c.block_id')} = {_NUMBER.format('r.block_id')}) AS inside,
+EXISTS (SELECT 1 FROM blocks c WHERE c.document_id = r.document_id AND {_NUMBER.format('c.block_id')} = {_NUMBER.format('r.block_id')} AND c.ingested_at <= r.recorded_at AND (c.deleted_at IS NULL OR r.recorded_at < c.deleted_at)) AS living {_ORPHANS}) GROUP BY 1, 2""",
     }

@@ -82,6 +82,19 @@ def test_orphans_against_brute_force(spark, monkeypatch):
     assert got == {i for i, d, k, t in refs if not alive(d, k, t)}
 
 
+def test_runs_decide_on_late_and_deleted_parents(spark):
+    bid = lambda n, h="a": f"p0001-b{n:04d}-{h * 16}"
+    day = lambda n: T0 + dt.timedelta(days=n)
+    parents = [("x", bid(n), day(0), None) for n in range(10)] + [("x", bid(10), day(5), None), ("x", bid(11), day(0), day(3)), ("x", bid(11), day(6), None), ("x", bid(3, "c"), day(0), None)]
+    p = spark.createDataFrame(parents, "doc string, key string, b timestamp, e timestamp")
+    runs = {(x.lo, x.hi, len(x.lives)) for r in O.key_runs(p, "doc", "key").collect() for x in r.runs}
+    assert runs == {(0, 3, 1), (3, 9, 1), (10, 10, 1), (11, 11, 2)} or runs == {(0, 9, 1), (3, 3, 1), (10, 10, 1), (11, 11, 2)}, runs
+    refs = [(1, bid(9), 1), (2, bid(12), 1), (3, bid(10), 4), (4, bid(11), 4), (5, bid(11), 7), (6, bid(2, "b"), 1), (7, bid(3, "c"), 1), (8, bid(3), 1)]
+    q = spark.createDataFrame([(i, "x", k, day(t)) for i, k, t in refs], "id long, doc string, key string, at timestamp")
+    got = {r.id: (r.in_run, r.in_life) for r in O.orphans(q, p, "doc", "key", "at", "b", "e").collect()}
+    assert got == {2: (False, False), 3: (True, False), 4: (True, False), 6: (True, True)}
+
+
 def test_empty_tables(spark, tmp_path):
     for t, k in orphans_plan.REFERRING.items():
         spark.createDataFrame([], f"{k} long, document_id string, evidence_block_ids array<string>, recorded_at timestamp").write.parquet(f"{tmp_path}/{t}.parquet")
