@@ -2,14 +2,16 @@
 
 Spellings are parsed into forms (given and family name of a person; distinctive
 words and type of a house), forms are blocked by token suffixes, pairs of a
-block are compared by the ratio of their longest common subsequence, and each
-form joins the best supported form it is a variant of. Abbreviated forms
+block are compared by the ratio of their longest common subsequence (MIN_RATIO,
+at most one letter off), and each form joins the best supported form it is a
+variant of. Abbreviated forms
 (initials, first letters, one of several words) join every form they shorten,
 if that is one entity; else the one that shares an e-mail address, else the
 best supported.
 
 Blocks: all suffixes of at least MIN_SUFFIX letters of each token and of the
-reversed token, if at most COMMON forms have it. Short names with a letter off
+reversed token; what more than COMMON forms have is refined by another field and
+discarded only if it is still as common. Short names with a letter off
 share no such suffix, so all forms have keys for each rule of _relate as well
 (one-letter deletions of the one field with what the rule asks of the other),
 which give every pair that is linked, whatever the size of the tables.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from quireloom.session import cut
 
 MIN_SUFFIX, COMMON = 3, 200
+MIN_RATIO, LEAST = 0.75, 4
 
 # Titles and degrees, short forms of given names, words that say what kind of house it is.
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "cfa", "phd", "mba", "cpa", "frm", "acca", "jr", "sr"}
@@ -85,10 +88,46 @@ def lcs_ratio(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(n > 0, 2 * lcs_length(a, b) / np.maximum(n, 1), 1.0)
 
 
-def one_letter_apart(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether the common subsequence misses at most one letter of the longer text, of at least 4 (one exchange, too much or too few)."""
-    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], int)
-    return (lcs_length(a, b) >= longest - 1) & (longest >= 4)
+def near(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether two texts of at least LEAST letters have an LCS ratio of MIN_RATIO and miss at most one letter of the longer.
+
+    The ratio alone would let long names differ in several letters, and similar
+    names are of different people.
+    """
+    if not a:
+        return np.zeros(0, bool)
+    n = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], float)
+    longest = n.max(1)
+    maybe = np.flatnonzero((abs(n[:, 0] - n[:, 1]) <= 1) & (longest >= LEAST))
+    common = lcs_length([a[i] for i in maybe], [b[i] for i in maybe])
+    out = np.zeros(len(a), bool)
+    out[maybe] = (2 * common >= MIN_RATIO * n[maybe].sum(1)) & (common >= longest[maybe] - 1)
+    return out
+
+
+def without_one(w: str) -> set[str]:
+    """w and what is left of it without one letter."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
+@lru_cache(1)
+def _kinds_without_one() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for w in _LONG_WORDS:
+        for k in without_one(w):
+            out.setdefault(k, []).append(w)
+    return out
+
+
+@lru_cache(100_000)
+def kind_word(w: str) -> str | None:
+    """The word for a kind of house that w is or is near."""
+    if w in _WORD_OF:
+        return _WORD_OF[w]
+    index = _kinds_without_one()
+    may = sorted({x for k in without_one(w) for x in index.get(k, [])}, key=_LONG_WORDS.index)
+    yes = near([w] * len(may), may)
+    return next((x for x, y in zip(may, yes, strict=True) if y), None)
 
 
 def parse_person(cell: str) -> tuple[str, str, str, bool]:
@@ -120,11 +159,10 @@ def parse_house(cell: str) -> tuple[str, str, str, bool]:
     core, kind, dotted = [], [], False
     for raw in re.findall(r"[^\W\d_]+\.?", s):
         w = fold(raw.rstrip("."))
-        near = [x for x, yes in zip(_LONG_WORDS, one_letter_apart([w] * len(_LONG_WORDS), _LONG_WORDS), strict=True) if yes]
         if w in FILLERS:
             continue
-        if w in _WORD_OF or near:
-            kind.append(_WORD_OF.get(w) or near[0])
+        if k := kind_word(w):
+            kind.append(k)
         elif w == "capmkts":
             kind += ["capital", "markets"]
         else:
@@ -154,7 +192,8 @@ def email_key(cell: Column) -> Column:
 def forms(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: kind, spelling, form), (forms: form, kind, given, family, type, short, n, emails)."""
     per = spellings.groupBy("kind", "spelling").agg(F.count("*").alias("n"), F.collect_set("email").alias("emails"))
-    p = per.withColumn("p", parsed("kind", "spelling")).where(F.length("p.family") > 0)
+    # Written first: else the filter on the parsed form moves below the aggregation, and every row is parsed.
+    p = cut(per).withColumn("p", parsed("kind", "spelling")).where(F.length("p.family") > 0)
     p = p.select("kind", "spelling", "n", "emails", "p.*").withColumn("form", F.concat_ws("|", "kind", "given", "family", "type", "short"))
     p = cut(p)
     f = p.groupBy("form", "kind", "given", "family", "type", "short").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("emails"))).alias("emails"))
@@ -185,12 +224,12 @@ def exact_keys(f: DataFrame) -> DataFrame:
         k = y.select("form", "kind", F.col(within).alias("within") if isinstance(within, str) else within.alias("within"), F.explode(each).alias("part"), (F.lit(hub) if isinstance(hub, bool) else hub).alias("hub"))
         return k.select("form", F.concat_ws("#", F.lit(name), "kind", "within", "part").alias("key"), "hub")
 
-    near, none = deletions(F.col("family")), F.lit("")
+    close, none = deletions(F.col("family")), F.lit("")
     return reduce(DataFrame.unionByName, [
-        keys(whole, "given", "root", near), keys(whole.where("also IS NOT NULL"), "given", "also", near),  # one given name, families one letter apart
+        keys(whole, "given", "root", close), keys(whole.where("also IS NOT NULL"), "given", "also", close),  # one given name, families one letter apart
         keys(whole, "family", "family", deletions(F.col("root"))),  # one family, given names one letter apart
-        keys(people, "initial", F.substring("root", 1, 1), near, ~F.col("short")),  # initials, and families alone, with what they shorten
-        keys(full, "house", none, near),
+        keys(people, "initial", F.substring("root", 1, 1), close, ~F.col("short")),  # initials, and families alone, with what they shorten
+        keys(full, "house", none, close),
         keys(full, "word", none, F.flatten(F.transform(tokens, deletions)), F.size(tokens) > 1),  # one word of several
         keys(full, "first", none, F.flatten(F.transform(tokens, prefixes)), True), keys(word.where(F.length("family") >= 3), "first", none, F.array("family")),  # first letters of a word
         keys(full.where(F.size(tokens) > 1), "letters", none, F.array(letters(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""))), True), keys(word, "letters", none, F.array(letters(F.col("family")))),
@@ -204,14 +243,22 @@ def address_keys(f: DataFrame) -> DataFrame:
 
 
 def blocks(f: DataFrame) -> DataFrame:
-    """(form, key, hub): the suffix index without common suffixes, and the exact keys. Two hubs of a key needn't be compared."""
+    """(form, key, hub): the suffix index and the exact keys. Two hubs of a key needn't be compared.
+
+    A suffix that more than COMMON forms have is refined by the initial of the
+    given name or the kind of house, and discarded if it is still as common.
+    """
     tokens = F.split("family", " ")
     suffixes = lambda t: F.transform(F.sequence(F.lit(MIN_SUFFIX), F.greatest(F.lit(MIN_SUFFIX), F.length(t))), lambda n: F.substring(t, -F.least(n, F.length(t)), F.length(t)))
-    rows = f.select("form", "kind", F.explode(tokens).alias("token"))
+    other = F.when(F.col("kind") == "broker", F.col("type")).otherwise(F.substring(F.coalesce(_map(NICKNAMES, "given"), "given"), 1, 1))
+    rows = f.select("form", "kind", other.alias("other"), F.explode(tokens).alias("token"))
     both = F.concat(F.transform(suffixes(F.col("token")), lambda s: F.concat(F.lit("s:"), s)), F.transform(suffixes(F.reverse("token")), lambda s: F.concat(F.lit("p:"), s)))
-    k = rows.withColumn("key", F.explode(F.array_distinct(both))).select("form", F.concat_ws(":", "kind", "key").alias("key"))
-    few = k.groupBy("key").agg(F.countDistinct("form").alias("size")).where(F.col("size") <= COMMON).join(k, "key").select("form", "key", F.lit(False).alias("hub"))
-    return few.unionByName(exact_keys(f)).distinct()
+    k = rows.withColumn("key", F.explode(F.array_distinct(both))).select("form", "other", F.concat_ws(":", "kind", "key").alias("key"))
+    sized = k.join(k.groupBy("key").agg(F.countDistinct("form").alias("size")), "key")
+    few = sized.where(F.col("size") <= COMMON).select("form", "key")
+    fine = sized.where(F.col("size") > COMMON).select("form", F.concat_ws("#", "key", "other").alias("key"))
+    fine = fine.join(fine.groupBy("key").agg(F.countDistinct("form").alias("size")).where(F.col("size") <= COMMON), "key").select("form", "key")
+    return few.unionByName(fine).withColumn("hub", F.lit(False)).unionByName(exact_keys(f)).distinct()
 
 
 def block_keys(f: DataFrame) -> DataFrame:
@@ -227,7 +274,7 @@ def _relate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g1, g2 = [NICKNAMES.get(x, x) for x in b.given_a], [NICKNAMES.get(x, x) for x in b.given_b]
         f1, f2, t1, t2 = list(b.family_a), list(b.family_b), list(b.type_a), list(b.type_b)
         e1, e2 = [set(x) for x in b.emails_a], [set(x) for x in b.emails_b]
-        near_f, near_g = one_letter_apart(f1, f2), one_letter_apart(g1, g2)
+        near_f, near_g = near(f1, f2), near(g1, g2)
         ratio = lcs_ratio([f"{g} {f}" for g, f in zip(g1, f1, strict=True)], [f"{g} {f}" for g, f in zip(g2, f2, strict=True)])
         out = []
         for i, r in enumerate(b.itertuples(index=False)):
@@ -246,7 +293,7 @@ def _relate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         rel = (short, full, "short")
                     elif flag and len(sf) >= 3 and any(w.startswith(sf) for w in whole):
                         rel = (short, full, "short")
-                    elif len(whole) > 1 and not flag and (sf in whole or max(one_letter_apart([sf] * len(whole), whole))):
+                    elif len(whole) > 1 and not flag and (sf in whole or near([sf] * len(whole), whole).any()):
                         rel = (short, full, "short")
                 if rel is None and same_type and not r.short_a and not r.short_b and len(f1[i].split(" ")) == len(f2[i].split(" ")) and (f1[i] == f2[i] or near_f[i]):
                     rel = "same"
