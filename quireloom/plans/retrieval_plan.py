@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,24 +12,59 @@ from quireloom.operators import retrieval as R
 from quireloom.session import table
 from quireloom.sources.reports import live_blocks, page_lines
 
+TICKER = r"(?:Bloomberg|BLOOMBERG|Ticker|TICKER):?\s+([A-Z]{2,5} [A-Z]{2})\b"
+
+
+Input = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
+
+
+def recorded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks and the requests as they are."""
+    return table(spark, d, "blocks"), table(spark, d, "queries")
+
 
-def _parts(spark: SparkSession, d: str):  # noqa: ANN202
-    blocks = live_blocks(table(spark, d, "blocks"))
+def made(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks with all reports of a year on its first day, and a request for each ticker that a first page prints.
+
+    The recorded requests hardly ever meet a report; these meet groups of reports
+    of one source. By the last digit of its digest, a report's request is for a
+    ticker of no report (0), malformed (1), of another year (2) or without a
+    source (3), and the report has its first page second (4), no text (5), one
+    ticker with others (6 to 9) or the ticker deep in a page only (a, b).
+    """
+    name, x = F.col("source_filename"), F.regexp_extract("source_filename", r"([0-9a-f])\.pdf$", 1)
+    day = F.concat(F.substring(name, 1, 4), F.lit("0101"), F.expr("substring(source_filename, 9)"))
+    b = table(spark, d, "blocks").withColumn("source_filename", F.when(name.rlike(r"^\d{8}_"), day).otherwise(name))
+    t = F.when(F.col("page_number") == 1, F.regexp_extract("text", TICKER, 1)).otherwise("")
+    b = b.withColumns({"x": x, "t": t})
+    deep = F.concat(F.repeat(F.lit("filler\n"), F.lit(30)), F.lit("Peer "), F.col("t"), F.lit(" moved"))
+    text = F.when(x == "5", F.lit(None)).when((F.col("t") != "") & x.between("6", "9"), F.replace("text", "t", F.lit("TIE US"))).when((F.col("t") != "") & x.isin("a", "b"), deep).otherwise(F.col("text"))
+    out = b.withColumns({"text": text, "page_number": F.when((x == "4") & (F.col("page_number") <= 2), 3 - F.col("page_number")).otherwise(F.col("page_number"))}).drop("x", "t")
+    seen = live_blocks(b).where(F.col("t") != "").select("source_filename", "t", "x").distinct()
+    ticker = F.when(x == "0", "XQX US").when(x == "1", "AB").when(x.between("6", "9"), "TIE US").otherwise(F.col("t"))
+    date = F.concat(F.when(x == "2", "1999").otherwise(F.substring(name, 1, 4)), F.lit("-01-01"))
+    broker = F.when(x == "3", "--").otherwise(F.regexp_extract("source_filename", r"^[^_]*_(.+)_[^_]*$", 1))
+    return out, seen.select(F.concat_ws("|", name, "t").alias("query_id"), ticker.alias("ticker"), date.alias("query_date"), broker.alias("broker"))
+
+
+def _parts(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
+    b, q = given(spark, d)
+    blocks = live_blocks(b)
     catalog = R.catalog_of(blocks, "source_filename")
-    q = R.normalized_queries(table(spark, d, "queries"))
+    q = R.normalized_queries(q)
     return blocks, catalog, q, R.shortlist(q, catalog)
 
 
-def _evidence(spark: SparkSession, d: str):  # noqa: ANN202
-    blocks, _, q, short = _parts(spark, d)
+def _evidence(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
+    blocks, _, q, short = _parts(spark, d, given)
     lines = page_lines(blocks, pages=2).join(short.select("filename").distinct(), "filename", "left_semi")
     return q, short, R.ticker_evidence(short, R.labelled_lines(lines.select("filename", "page_number", "line_number", "line")))
 
 
-def _candidates(spark: SparkSession, d: str):  # noqa: ANN202
-    q, short, ev = _evidence(spark, d)
+def _candidates(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
+    q, short, ev = _evidence(spark, d, given)
     # A report one of whose first pages has only null texts can't be read there.
-    pages = table(spark, d, "blocks").where(F.col("page_number") <= 2).groupBy(F.col("source_filename").alias("filename"), "page_number").agg(F.count("text").alias("n"))
+    pages = given(spark, d)[0].where(F.col("page_number") <= 2).groupBy(F.col("source_filename").alias("filename"), "page_number").agg(F.count("text").alias("n"))
     return q, R.candidates(short, ev, pages.where("n = 0"))
 
 
@@ -68,6 +105,22 @@ def retrieval_status(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve(*_candidates(spark, d))
 
 
+def made_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    return _parts(spark, d, made)[3]
+
+
+def made_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d, made)[2]
+
+
+def made_rank_margin(spark: SparkSession, d: str) -> DataFrame:
+    return R.ranked(_candidates(spark, d, made)[1]).select("query_id", "filename", F.col("s2").alias("score"), "rank", "lead", "confidence")
+
+
+def made_status(spark: SparkSession, d: str) -> DataFrame:
+    return R.resolve(*_candidates(spark, d, made))
+
+
 def page_range_prune(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the pages that '1-2,{last}' names, per document; a reversed range names none."""
     b = live_blocks(table(spark, d, "blocks")).select("document_id", "page_number", "block_id")
@@ -94,7 +147,7 @@ def redacted_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [catalog_filename_parse, catalog_shortlist_join, broker_normalize, ticker_normalize, query_date_normalize, line_explode_clean, ticker_evidence_score, candidate_rank_margin, retrieval_status, page_range_prune, document_fingerprint, block_id_hash, redacted_lines]
+    fs = [catalog_filename_parse, catalog_shortlist_join, broker_normalize, ticker_normalize, query_date_normalize, line_explode_clean, ticker_evidence_score, candidate_rank_margin, retrieval_status, made_shortlist, made_evidence, made_rank_margin, made_status, page_range_prune, document_fingerprint, block_id_hash, redacted_lines]
     return {f.__name__: f for f in fs}
 
 
@@ -146,7 +199,22 @@ _CAND = f"""(SELECT s.query_id, s.filename, coalesce(max(CASE WHEN page_number =
 _RANK = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, e2, lower(filename), filename) AS rank, s2 - coalesce(lead(s2) OVER (PARTITION BY query_id ORDER BY s2 DESC, e2, lower(filename), filename), 0) AS lead FROM {_CAND}"
 
 
+_MADE = rf"""WITH made_raw AS (SELECT * REPLACE (CASE WHEN regexp_matches(source_filename, '^[0-9]{{8}}_') THEN left(source_filename, 4) || '0101' || substr(source_filename, 9) ELSE source_filename END AS source_filename),
+ regexp_extract(source_filename, '([0-9a-f])\.pdf$', 1) AS x, CASE WHEN page_number = 1 THEN coalesce(regexp_extract(text, '{TICKER}', 1), '') ELSE '' END AS t FROM blocks),
+made_blocks AS (SELECT * EXCLUDE (x, t) REPLACE (CASE WHEN x = '5' THEN NULL WHEN t <> '' AND x BETWEEN '6' AND '9' THEN replace(text, t, 'TIE US') WHEN t <> '' AND x IN ('a', 'b') THEN repeat('filler' || chr(10), 30) || 'Peer ' || t || ' moved' ELSE text END AS text,
+ CASE WHEN x = '4' AND page_number <= 2 THEN 3 - page_number ELSE page_number END AS page_number) FROM made_raw),
+made_seen AS (SELECT DISTINCT source_filename AS f, t, x FROM (SELECT DISTINCT ON (document_id, block_id) * FROM made_raw WHERE deleted_at IS NULL ORDER BY document_id, block_id) WHERE t <> ''),
+made_queries AS (SELECT f || '|' || t AS query_id, CASE WHEN x = '0' THEN 'XQX US' WHEN x = '1' THEN 'AB' WHEN x BETWEEN '6' AND '9' THEN 'TIE US' ELSE t END AS ticker, CASE x WHEN '2' THEN '1999' ELSE left(f, 4) END || '-01-01' AS query_date, CASE x WHEN '3' THEN '--' ELSE regexp_extract(f, '^[^_]*_(.+)_[^_]*$', 1) END AS broker FROM made_seen)
+SELECT * FROM ("""
+
+
 def oracle_sql() -> dict:
+    own = recorded_sql()
+    made_of = {"made_shortlist": "catalog_shortlist_join", "made_evidence": "ticker_evidence_score", "made_rank_margin": "candidate_rank_margin", "made_status": "retrieval_status"}
+    return own | {k: _MADE + own[v].replace("FROM queries", "FROM made_queries").replace("FROM blocks", "FROM made_blocks") + ")" for k, v in made_of.items()}
+
+
+def recorded_sql() -> dict:
     return {
         "catalog_filename_parse": f"SELECT filename, file_date, file_broker, {_key('file_broker')} AS broker_key, digest FROM {_cat('blocks')}",
         "catalog_shortlist_join": f"SELECT * FROM {_SHORT}",

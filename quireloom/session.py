@@ -47,7 +47,7 @@ def ship(spark: SparkSession) -> SparkSession:
         folder = ""
     archive = pathlib.Path(tempfile.mkdtemp(prefix="quireloom-", dir=folder or None)) / "quireloom_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
+        for f in sorted(x for x in package.rglob("*") if x.suffix in (".py", ".npz")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(archive))
     sc._quireloom_shipped = True
