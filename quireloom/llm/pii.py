@@ -1,11 +1,13 @@
 """Personal details inside free text (problem 6).
 
-A linear-chain conditional random field tags tokens. Its features are shapes,
-endings and words of the tokens around, shapes of the blank-separated chunks
-around, pairs of neighbouring shapes, and what the line and its neighbours look
-like. It is trained here from the small labelled table of pii_examples (by the
-exact gradient from forward-backward passes, Adam, the same result each time)
-and decoded by Viterbi, many texts at once in numpy.
+A linear-chain conditional random field tags the tokens of a line. Its features
+are shapes, endings and words of the tokens around, shapes of the
+blank-separated chunks around, pairs of neighbouring shapes, and what the line
+and its neighbours look like. It is trained from the small labelled table of
+pii_examples (by the exact gradient from forward-backward passes, Adam, the same
+result each time), once: the weights lie beside this module. Lines are decoded
+by Viterbi, many at once in numpy; a line that a worker has seen before between
+like lines is looked up.
 
 Decoded spans get an exact check of their form, which also settles their ends:
 an e-mail address must be one, a phone number needs its digits, a name goes
@@ -17,22 +19,31 @@ rows count once.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireloom.llm.pii_examples import KINDS, labelled_table
 
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 N = len(LABELS)
-TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+|\d+|\n|[^\w\s]|_")
+TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+|\d+|[^\w\s]|_")
+_CHUNK = re.compile(r"\S+")
+Line = tuple[str, str, str]  # the features of the line before, the line, the features of the line after
+Span = tuple[int, int, str]
 TOKEN_AT, CHUNK_AT, LINE_AT, PAIR_AT = (-3, -2, -1, 0, 1, 2, 3), (-2, -1, 0, 1, 2), (-1, 0, 1), (-2, -1, 0, 1)
-LONG = 4000  # tokens; longer texts are decoded one by one
+LONG = 4000  # tokens; longer lines are decoded one by one
+RARE = 5  # occurrences that a feature of a token needs
+SEEN = 60_000  # lines and pieces of lines that a worker keeps
 
 
 def shape(w: str) -> str:
@@ -57,6 +68,7 @@ def chunk_shape(c: str) -> str:
     return "c=" + re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", s))[:14]
 
 
+@lru_cache(100_000)
 def line_features(line: str) -> str:
     digits = sum(ch.isdigit() for ch in line)
     at = "@" in line or re.search(r"[\[(]at[\])]", line) is not None
@@ -65,6 +77,13 @@ def line_features(line: str) -> str:
     return f"l={min(len(line.split()), 6)}{'@' if at else ''}{'#' if digits > 6 else '9' if digits else ''}{'C' if capital else ''}"
 
 
+def lines_of(text: str) -> list[Line]:
+    """The lines of a text with what those around them look like."""
+    lines = text.split("\n")
+    f = ["", *map(line_features, lines), ""]
+    return [(f[i], x, f[i + 2]) for i, x in enumerate(lines)]
+
+
 class Lookup:
     """Ids of features; unknown ones have id 0 once it is closed."""
 
@@ -82,69 +101,87 @@ class Lookup:
 
 
 class Encoded:
-    """Texts as flat id arrays: token types, chunk types, line types and shapes, with the offsets of the texts."""
-
-    def __init__(self, texts: list[str], m: Model) -> None:  # noqa: F821
-        tok, chunk, line, span, counts = [], [], [], [], []
-        for t in texts:
-            lines = t.split("\n")
-            lf = [m.type_id("line", x) for x in lines]
-            ends = [x.end() for x in re.finditer(r"\S+", t)]
-            ct = [m.type_id("chunk", x) for x in re.findall(r"\S+", t)]
-            k = no = n = 0
-            for x in TOKEN.finditer(t):
+    """Lines as flat id arrays: token types, chunk types, line types and shapes, with the offsets of the lines."""
+
+    def __init__(self, lines: list[Line], m: Model) -> None:  # noqa: F821
+        tok, begin, end, chunk, size, at, counts, chunks, kinds = [], [], [], [], [], [], [], [], []
+        pieces = m.pieces
+        for before, line, after in lines:
+            n = k = 0
+            for x in _CHUNK.finditer(line):
                 w = x[0]
-                tok.append(m.type_id("token", w))
-                a = x.start()
-                while k < len(ends) and ends[k] <= a and w != "\n":
-                    k += 1
-                chunk.append(ct[k] if w != "\n" and k < len(ct) else 0)
-                line.append((lf[no - 1] if no else 0, lf[no], lf[no + 1] if no + 1 < len(lf) else 0))
-                span.append((a, x.end(), k))
-                no += w == "\n"
-                n += 1
+                piece = pieces.get(w)
+                if piece is None:
+                    found = [(m.type_id("token", t[0]), t.start(), t.end()) for t in TOKEN.finditer(w)]
+                    piece = pieces[w] = (m.type_id("chunk", w), *[[f[i] for f in found] for i in range(3)])
+                c, ids, b, e = piece
+                chunk.append(c)
+                tok += ids
+                begin += b
+                end += e
+                size.append(len(ids))
+                at.append(x.start())
+                n += len(ids)
+                k += 1
             counts.append(n)
+            chunks.append(k)
+            kinds.append((m.type_id("line", before), m.type_id("line", line_features(line)), m.type_id("line", after)))
         self.tok, self.chunk = np.array(tok, np.int32), np.array(chunk, np.int32)
-        self.line = np.array(line, np.int32).reshape(-1, 3)
-        self.span = np.array(span, np.int64).reshape(-1, 3)
+        size, at = np.array(size, np.int64), np.array(at, np.int64)
+        self.chunk_at = np.repeat(np.arange(len(size)), size)  # the chunk of each token
+        self.line_of_chunk = np.repeat(np.arange(len(lines)), chunks)
+        self.begin, self.end = np.array(begin, np.int64) + at[self.chunk_at], np.array(end, np.int64) + at[self.chunk_at]
         self.counts = np.array(counts, np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.counts)])
-        self.text_of = np.repeat(np.arange(len(texts)), self.counts)
+        self.line_of = np.repeat(np.arange(len(lines)), self.counts)
+        self.line = np.array(kinds, np.int32).reshape(-1, 3)[self.line_of]
         glued = np.zeros(len(self.tok), bool)
-        if len(self.tok) > 1:
-            glued[1:] = (self.span[1:, 0] == self.span[:-1, 1]) & (self.text_of[1:] == self.text_of[:-1])
+        glued[1:] = self.chunk_at[1:] == self.chunk_at[:-1]
         self.shape = m.shape_of[self.tok] * 2 + glued
 
     def shifted(self, ids: np.ndarray, by: int) -> np.ndarray:
-        """ids of the token by places on; 0 beyond the text."""
+        """ids of the token by places on; 0 beyond the line."""
         out = np.zeros_like(ids)
         n = len(ids)
         if abs(by) < n:
             if by >= 0:
-                out[: n - by] = np.where(self.text_of[by:] == self.text_of[: n - by], ids[by:], 0)
+                out[: n - by] = np.where(self.line_of[by:] == self.line_of[: n - by], ids[by:], 0)
             else:
-                out[-by:] = np.where(self.text_of[:by] == self.text_of[-by:], ids[:by], 0)
+                out[-by:] = np.where(self.line_of[:by] == self.line_of[-by:], ids[:by], 0)
         return out
 
     def shifted_chunk(self, by: int) -> np.ndarray:
-        """The chunk by chunks on, via the first token of each chunk."""
-        key = self.text_of * 1_000_000_007 + self.span[:, 2]
-        first, inverse = np.unique(key, return_index=True, return_inverse=True)[1:]
-        to = inverse + by
-        ok = (to >= 0) & (to < len(first))
-        at = first[np.clip(to, 0, max(len(first) - 1, 0))]
-        return np.where(ok & (self.text_of[at] == self.text_of), self.chunk[at], 0) if len(key) else self.chunk
+        """The chunk by chunks on; 0 beyond the line."""
+        if not len(self.chunk):
+            return self.chunk[self.chunk_at]
+        to = self.chunk_at + by
+        at = np.clip(to, 0, len(self.chunk) - 1)
+        return np.where((to == at) & (self.line_of_chunk[at] == self.line_of), self.chunk[at], 0)
 
 
 class Model:
-    """Weights and the types seen so far; a type's scores are computed once."""
+    """Weights, and the types, pieces and lines seen so far; each is worked out once."""
 
     def __init__(self) -> None:
         self.feats = {k: Lookup() for k in ("token", "chunk", "line")}
         self.shapes = Lookup()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was seen (not the features), so that memory stays bounded over many texts."""
         self.types: dict[str, dict[str, int]] = {k: {"": 0} for k in self.feats}
         self.rows: dict[str, list[list[int]]] = {k: [[]] for k in self.feats}
         self._shape: list[int] = [0]
+        self.pieces: dict[str, tuple] = {}
+        self.found: dict[Line, list[Span]] = {}
+        self.scores: dict[str, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"feats": self.feats, "shapes": self.shapes, "w": self.w}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
 
     @property
     def shape_of(self) -> np.ndarray:
@@ -154,18 +191,12 @@ class Model:
         got = self.types[kind].get(x)
         if got is None:
             got = self.types[kind][x] = len(self.types[kind])
-            f = token_features(x) if kind == "token" else [chunk_shape(x) if kind == "chunk" else line_features(x)]
+            f = token_features(x) if kind == "token" else [chunk_shape(x) if kind == "chunk" else x]
             self.rows[kind].append([i for i in map(self.feats[kind], f) if i])
             if kind == "token":
                 self._shape.append(self.shapes(shape(x)))
         return got
 
-    def forget(self) -> None:
-        """Drops the types (not the features), so that memory stays bounded over many texts."""
-        self.types = {k: {"": 0} for k in self.feats}
-        self.rows = {k: [[]] for k in self.feats}
-        self._shape = [0]
-
     def init(self) -> None:
         for f in [*self.feats.values(), self.shapes]:
             f.closed = True
@@ -175,6 +206,18 @@ class Model:
             "line": np.zeros((len(LINE_AT), len(self.feats["line"].ids), N)), "pair": np.zeros((len(PAIR_AT), s * s, N)), "trans": np.zeros((N, N)), "bias": np.zeros((1, N)),
         }
 
+    def save(self, path: str) -> None:
+        words = {f"feats_{k}": np.array(list(f.ids)) for k, f in [*self.feats.items(), ("shapes", self.shapes)]}
+        np.savez_compressed(path, **words, **{f"w_{k}": v.astype(np.float16) for k, v in self.w.items()})
+
+    @classmethod
+    def load(cls, file: object) -> Model:
+        m, z = cls(), np.load(file)
+        for k, f in [*m.feats.items(), ("shapes", m.shapes)]:
+            f.ids, f.closed = {str(x): i for i, x in enumerate(z[f"feats_{k}"])}, True
+        m.w = {k.removeprefix("w_"): z[k].astype(np.float32) for k in z.files if k.startswith("w_")}
+        return m
+
     def parts(self, e: Encoded) -> list[tuple[str, int, np.ndarray]]:
         s = 2 * len(self.shapes.ids)
         shapes = {o: e.shifted(e.shape, o) for o in range(min(PAIR_AT), max(PAIR_AT) + 2)}
@@ -183,25 +226,31 @@ class Model:
             *[("line", i, e.line[:, i]) for i in range(3)], *[("pair", i, shapes[o] * s + shapes[o + 1]) for i, o in enumerate(PAIR_AT)],
         ]
 
-    def type_scores(self, kind: str, i: int) -> np.ndarray:
+    def type_scores(self, kind: str, i: int, frozen: bool) -> np.ndarray:
+        """Scores of all types seen at one place; kept and extended if the weights are frozen."""
         rows = self.rows[kind]
-        flat = np.array([x for r in rows for x in r], np.int64)
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        out = np.zeros((len(rows), N))
+        old = self.scores.get(f"{kind}{i}") if frozen else None
+        begin = len(old) if old is not None else 0
+        new = np.zeros((len(rows) - begin, N), self.w[kind].dtype)
+        flat = np.array([x for r in rows[begin:] for x in r], np.int64)
+        of = np.repeat(np.arange(len(rows) - begin), [len(r) for r in rows[begin:]])
         if len(flat):
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            out[of[first]] = np.add.reduceat(self.w[kind][i][flat], first, axis=0)
+            new[of[first]] = np.add.reduceat(self.w[kind][i][flat], first, axis=0)
+        out = new if old is None else np.concatenate([old, new]) if len(new) else old
+        if frozen:
+            self.scores[f"{kind}{i}"] = out
         return out
 
-    def emissions(self, parts: list[tuple[str, int, np.ndarray]]) -> np.ndarray:
+    def emissions(self, parts: list[tuple[str, int, np.ndarray]], frozen: bool = False) -> np.ndarray:
         e = np.repeat(self.w["bias"], len(parts[0][2]), 0)
         for kind, i, ids in parts:
-            e += (self.w["pair"][i] if kind == "pair" else self.type_scores(kind, i))[ids]
+            e += (self.w["pair"][i] if kind == "pair" else self.type_scores(kind, i, frozen))[ids]
         return e
 
 
 def _padded(e: Encoded, flat: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values [text, place, ...], which places hold a token)."""
+    """(values [line, place, ...], which places hold a token)."""
     n = e.counts[texts]
     place = np.arange(n.max(initial=0))
     ok = place < n[:, None]
@@ -209,28 +258,38 @@ def _padded(e: Encoded, flat: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray
 
 
 def train(table: list | None = None, rounds: int = 90, rate: float = 0.12, decay: float = 2e-4) -> Model:
-    """Maximum likelihood with a small penalty; all texts in each round."""
+    """Maximum likelihood with a small penalty; all lines in each round."""
     table = table if table is not None else labelled_table()
     m = Model()
-    texts = [t for t, _ in table]
-    e = Encoded(texts, m)
+    units = [lines_of(t) for t, _ in table]
+    seen = Counter(f for us in units for _, line, _ in us for x in TOKEN.findall(line) for f in token_features(x))
+    for f, n in seen.items():  # what stands in a few places only isn't learnt by heart
+        if n >= RARE:
+            m.feats["token"](f)
+    m.feats["token"].closed = True
+    e = Encoded([u for us in units for u in us], m)
     m.init()
     y = np.zeros(len(e.tok), np.int64)
-    for i, (_, spans) in enumerate(table):
-        at = slice(e.start[i], e.start[i + 1])
-        s = e.span[at]
-        for a, b, k in spans:
-            inside = (s[:, 0] >= a) & (s[:, 0] < b)
-            y[at][inside] = LABELS.index(f"I-{k}")
-            if inside.any():
-                y[e.start[i] + np.argmax(inside)] = LABELS.index(f"B-{k}")
+    i = 0
+    for us, (_, spans) in zip(units, table, strict=True):
+        begin = 0
+        for _, line, _ in us:
+            at = slice(e.start[i], e.start[i + 1])
+            s = e.begin[at] + begin
+            for a, b, k in spans:
+                inside = (s >= a) & (s < b)
+                y[at][inside] = LABELS.index(f"I-{k}")
+                if inside.any():
+                    y[e.start[i] + np.argmax(inside)] = LABELS.index(f"B-{k}")
+            begin += len(line) + 1
+            i += 1
     parts = m.parts(e)
     every = np.argsort(-e.counts, kind="stable")
     every = every[e.counts[every] > 0]  # longest first: at each place the texts that have it are the first ones
     idx, ok = _padded(e, np.arange(len(e.tok)), every)
     alive = ok.sum(0)
     gold_t = np.zeros((N, N))
-    same = e.text_of[1:] == e.text_of[:-1]
+    same = e.line_of[1:] == e.line_of[:-1]
     np.add.at(gold_t, (y[:-1][same], y[1:][same]), 1)
     onehot = np.eye(N)[y]
     incidence = {k: (np.array([x for r in m.rows[k] for x in r], np.int64), np.repeat(np.arange(len(m.rows[k])), [len(r) for r in m.rows[k]])) for k in m.rows}
@@ -302,35 +361,32 @@ def viterbi(em: np.ndarray, ok: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(texts: list[str], m: Model) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) of the decoded spans of each text."""
-    if len(m.types["token"]) > 200_000 or len(m.types["line"]) > 200_000:
-        m.forget()
-    e = Encoded(texts, m)
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+def decode(lines: list[Line], m: Model) -> list[list[Span]]:
+    """(start, end, kind) of the decoded spans of each line."""
+    e = Encoded(lines, m)
+    out: list[list[Span]] = [[] for _ in lines]
     if not len(e.tok):
         return out
-    em = m.emissions(m.parts(e)).astype(np.float32)
+    em = m.emissions(m.parts(e), frozen=True)
     order = np.argsort(e.counts, kind="stable")
     order = order[e.counts[order] > 0]
     labels = np.zeros(len(e.tok), np.int8)
     at = 0
     while at < len(order):
-        n = 1 if e.counts[order[at]] > LONG else 256
+        n = 1 if e.counts[order[at]] > LONG else 512
         group = order[at : at + n]
         group = group[e.counts[group] <= max(LONG, e.counts[group[0]])]
         idx, ok = _padded(e, np.arange(len(e.tok)), group)
         labels[idx[ok]] = viterbi(em[idx], ok, m.w["trans"])[ok]
         at += len(group)
-    hit = np.flatnonzero(labels)
-    span, prev = e.span, None
+    hit, prev = np.flatnonzero(labels), None
     for i in hit.tolist():
-        kind, begins, t = KINDS[(labels[i] - 1) // 2], labels[i] % 2 == 1, int(e.text_of[i])
+        kind, begins, t = KINDS[(labels[i] - 1) // 2], labels[i] % 2 == 1, int(e.line_of[i])
         if not begins and prev == (t, i - 1, kind):
             a, _, k = out[t][-1]
-            out[t][-1] = (a, int(span[i, 1]), k)
+            out[t][-1] = (a, int(e.end[i]), k)
         else:
-            out[t].append((int(span[i, 0]), int(span[i, 1]), kind))
+            out[t].append((int(e.begin[i]), int(e.end[i]), kind))
         prev = (t, i, kind)
     return out
 
@@ -339,7 +395,7 @@ _WORDS = r"[^\W\d_]"
 FORMS = {
     "email": re.compile(r"[A-Za-z0-9][\w.+\-]*(?:[ \t]*@[ \t]*|[ \t]*[\[(][ \t]*(?:at|AT)[ \t]*[\])][ \t]*)[A-Za-z0-9\-]+(?:(?:\.|[ \t]*[\[(][ \t]*(?:dot|DOT)[ \t]*[\])][ \t]*)[A-Za-z0-9\-]*[A-Za-z0-9])+"),
     "phone": re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ \t().\-/]{0,2}\d){6,15}(?!\w)"),
-    "id_number": re.compile(r"(?<!\w)(?:[A-Z]{1,2}[ \t-]?)?\d(?:[ \t-]?\d){4,13}(?:[ \t]?[A-Z])?(?!\w)"),
+    "id_number": re.compile(r"(?<!\w)(?:[A-Z]{1,2}[ \t-]?)?\d(?:[ \t/-]?\d){4,13}(?:[ \t]?[A-Z])?(?!\w)"),
     "address": re.compile(rf"(?<!\w)(?:\d+(?:-\d+)?[A-Za-z]?[ \t]+(?:{_WORDS}[\w'’-]*\.?[ \t]*){{1,4}}|(?:{_WORDS}[\w'’-]*\.?[ \t]+){{0,3}}{_WORDS}[\w'’-]*,?[ \t]+\d+(?:-\d+)?[a-zA-Z]?(?!\w))"),
     "name": re.compile(rf"(?:{_WORDS}[\w\u0300-\u036f'’-]*\.?)(?:,?[ \t]+{_WORDS}[\w\u0300-\u036f'’-]*\.?){{1,4}}"),
 }
@@ -389,21 +445,35 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return (a, a + len(s)) if any(c.isdigit() for c in s) and form.fullmatch(s) else None
 
 
+WEIGHTS = "pii_weights.npz"
+
+
 @lru_cache(1)
 def model() -> Model:
-    return train()
+    """The tagger with the weights that `python -m quireloom.llm.pii` wrote."""
+    return Model.load(io.BytesIO(pkgutil.get_data("quireloom.llm", WEIGHTS)))
 
 
-def details(texts: list[str], m: Model) -> list[list[tuple[int, int, str]]]:
-    """The settled spans of each text, none inside another."""
-    out = []
-    for t, spans in zip(texts, decode(texts, m), strict=True):
-        got: list[tuple[int, int, str]] = []
+def details(texts: list[str], m: Model) -> list[list[Span]]:
+    """The settled spans of each text, none inside another. A line seen before isn't tagged again."""
+    if max(len(m.pieces), len(m.found)) > SEEN:
+        m.forget()
+    units = [lines_of(t) for t in texts]
+    new = list(dict.fromkeys(u for us in units for u in us if u not in m.found))
+    for u, spans in zip(new, decode(new, m), strict=True):
+        got: list[Span] = []
         for a, b, k in spans:
-            s = settle(t, a, b, k)
+            s = settle(u[1], a, b, k)
             if s and not any(s[0] < y and x < s[1] for x, y, _ in got):
                 got.append((*s, k))
-        out.append(sorted(got))
+        m.found[u] = sorted(got)
+    out = []
+    for us in units:
+        begin, spans = 0, []
+        for u in us:
+            spans += [(begin + a, begin + b, k) for a, b, k in m.found[u]]
+            begin += len(u[1]) + 1
+        out.append(spans)
     return out
 
 
@@ -422,15 +492,23 @@ def find_details(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.length(text) > 0).select(key, text).mapInPandas(run, "key string, start int, end int, kind string, found_text string")
 
 
+def _letters(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """See TESTDATA.md."""
-    blocks = spark.read.parquet(f"{d}/blocks.parquet").select(F.col("block_id").alias("key"), "text").distinct()
+    """See TESTDATA.md. A name that is the house which the block's file is of is no person's."""
+    blocks = spark.read.parquet(f"{d}/blocks.parquet").select("block_id", "source_filename", "text").distinct()
+    house = _letters(F.regexp_extract("source_filename", r"^[^_]*_(.+)_[^_]*$", 1))
+    blocks = blocks.select(F.concat(F.lit("blocks "), "block_id", F.lit(" "), F.coalesce(house, F.lit(""))).alias("key"), "text")
     a = spark.read.parquet(f"{d}/analysts.parquet").select(F.col("analyst_row_id").cast("string").alias("key"), F.explode(F.array("name", "email", "phone")).alias("text")).distinct()
-    both = blocks.select(F.concat(F.lit("blocks "), "key").alias("key"), "text").unionByName(a.select(F.concat(F.lit("analysts "), "key").alias("key"), "text"))
+    both = blocks.unionByName(a.select(F.concat(F.lit("analysts "), "key", F.lit(" ")).alias("key"), "text"))
     found = find_details(both.where(F.col("text").isNotNull() & F.col("key").isNotNull()), "key", "text")
-    t = F.substring_index("key", " ", 1)
-    found = found.where((t == "blocks") | F.col("kind").isin("email", "phone"))
-    return found.select(t.alias("record_table"), F.expr("substring(key, length(substring_index(key, ' ', 1)) + 2)").alias("record_key"), F.col("kind").alias("pii_kind"), "found_text").distinct()
+    table, rest, house = F.substring_index("key", " ", 1), F.expr("substring(key, length(substring_index(key, ' ', 1)) + 2)"), F.substring_index("key", " ", -1)
+    found = found.select(table.alias("record_table"), rest.alias("rest"), house.alias("house"), F.col("kind").alias("pii_kind"), "found_text")
+    person = (F.col("pii_kind") == "name") & (_letters(F.col("found_text")) == F.col("house"))
+    found = found.where(((F.col("record_table") == "blocks") & ~person) | F.col("pii_kind").isin("email", "phone"))
+    return found.select("record_table", F.expr("left(rest, length(rest) - length(house) - 1)").alias("record_key"), "pii_kind", "found_text").distinct()
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -448,3 +526,7 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
             yield b.assign(text=out)
 
     return blocks.mapInPandas(run, "block_id string, text string")
+
+
+if __name__ == "__main__":  # python -m quireloom.llm.pii: trains from the labelled table and writes the weights
+    train().save(sys.argv[1] if len(sys.argv) > 1 else __file__.rsplit("/", 1)[0] + "/" + WEIGHTS)
