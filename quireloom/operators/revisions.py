@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quireloom.functions import finance as N
 from quireloom.functions import text as X
 from quireloom.functions.columns import let, once, spans
+from quireloom.session import cut
 
 ROW = ["document_id", "page_number", "seq", "metric", "qualifiers", "period", "basis", "old", "new", "stated_pct", "stated_pp", "consensus", "block_ids", "method", "source_text", "notes"]
 # Methods from the last to the first choice for one and the same revision, and their ranks.
@@ -34,8 +35,10 @@ def candidate_blocks(blocks: DataFrame) -> DataFrame:
     old, new = r"\b(?:old|previous|prev\.?)\b", r"\b(?:new|current|revised)\b"
     header = t.rlike(N.ci(f"{old}.*{new}|{new}.*{old}"))
     n = sum(t.rlike(N.ci(f"(?:{p})")).cast("int") for p in (N.SIGNAL, N.CONSENSUS, N.PERIOD, N.NUMBER))
-    b = once(b, "metric_here", F.struct(N.metric_name(t).alias("m"), n.alias("n")))
-    return b.where(~t.rlike(N.ci(N.DISCLOSURE))).where(t.rlike(N.ci(HEADING)) | header | (F.col("metric_here.m").isNotNull() & (F.col("metric_here.n") >= 3))).drop("metric_here")
+    b = once(b, "n_signals", n)
+    # Cheap tests first: a metric's pattern is looked for only in texts with three signals, and only after one of the words it can start with.
+    named = (F.col("n_signals") >= 3) & t.rlike(N.ci(N.METRIC_START)) & t.rlike(N.ci("|".join(f"(?:{p})" for _, p in N.METRICS)))
+    return b.where(t.rlike(N.ci(HEADING)) | header | named).where(~t.rlike(N.ci(N.DISCLOSURE))).drop("n_signals")
 
 
 def prose_revisions(candidates: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def statuses(documents: DataFrame, candidates: DataFrame, revisions: DataFrame)
 
 
 def text_revisions(blocks: DataFrame) -> DataFrame:
-    """All revisions that stand in the text of blocks, finalised, not yet deduplicated."""
-    c = candidate_blocks(blocks)
+    """All revisions that stand in the text of blocks, finalised, not yet deduplicated. The candidates are written once for all parsers."""
+    c = cut(candidate_blocks(blocks))
     rows = [p(c).select(*ROW) for p in (prose_revisions, inline_changes, compact_targets)]
     return finalize(reduce(DataFrame.unionByName, rows))

@@ -97,7 +97,7 @@ def revision_recall(spark: SparkSession, d: str) -> DataFrame:
 def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Revisions of all six parsers on the pages that have candidates, deduplicated, with the consensus values of their pages; the statuses of all documents."""
     b = _blocks(spark, d)
-    c = R.candidate_blocks(b)
+    c = cut(R.candidate_blocks(b))
     w = table(spark, d, "words").dropDuplicates(["word_id"]).join(c.select("document_id", "page_number").distinct(), ["document_id", "page_number"], "left_semi")
     p = cut(L.pages(w.join(b.select("document_id", "block_id"), ["document_id", "block_id"], "left_semi")))
     rows = [f(c).select(*R.ROW) for f in (R.prose_revisions, R.inline_changes, R.compact_targets)] + [f(p).select(*R.ROW) for f in (T.aligned_tables, T.grouped_tables, T.matrix_tables)]
