@@ -35,6 +35,49 @@ def citation_id(document: Column, page: Column, ids: Column, metric: Column, per
     return F.concat(F.lit("cit-"), F.substring(F.sha2(body, 256), 1, 24))
 
 
+def requests_from_revisions(revisions: DataFrame) -> DataFrame:
+    """(document_id, evidence_block_ids, label, claim_key, highlight_metric, highlight_period): a request per evidence of each revision.
+
+    Revisions are numbered per document by seq and revision_id, from 1.
+    """
+    r = revisions.withColumn("no", F.row_number().over(Window.partitionBy("document_id").orderBy("seq", "revision_id")))
+    x = r.select("document_id", "revision_id", "no", "metric", "fiscal_period", F.posexplode("evidence").alias("e", "v"))
+    label = F.concat(F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(" "), F.coalesce("fiscal_period", F.lit("current")), F.lit(" revision evidence"))
+    key = F.concat(F.lit("revision:"), F.col("no").cast("string"), F.lit(":evidence:"), (F.col("e") + 1).cast("string"))
+    return x.select("document_id", "revision_id", F.col("v.block_ids").alias("evidence_block_ids"), label.alias("label"), key.alias("claim_key"), F.col("metric").alias("highlight_metric"), F.col("fiscal_period").alias("highlight_period"))
+
+
+def requests_from_rationale(drivers: DataFrame, claims: DataFrame) -> DataFrame:
+    """(document_id, evidence_block_ids, label, claim_key): drivers and first-read items numbered per document, why_now and takeaway; none without ids."""
+    number = lambda df, *order: df.withColumn("no", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)).cast("string"))
+    row = lambda df, label, key: df.select("document_id", "evidence_block_ids", label.alias("label"), key.alias("claim_key"))
+    d = number(drivers, "ordinal", "driver_id")
+    out = row(d, F.concat(F.lit("Rationale driver "), "no"), F.concat(F.lit("rationale:driver:"), "no"))
+    f = number(claims.where(F.col("kind") == "first_read"), "ordinal", "claim_id")
+    out = out.unionByName(row(f, F.concat(F.lit("First-read item "), "no"), F.concat(F.lit("rationale:first_read:"), "no")))
+    for kind, label, key in (("why_now", "Why now", "rationale:why_now"), ("one_line_takeaway", "One-line takeaway", "rationale:takeaway")):
+        one = number(claims.where(F.col("kind") == kind), "ordinal", "claim_id").where("no = '1'")
+        out = out.unionByName(row(one, F.lit(label), F.lit(key)))
+    return out.where(F.size("evidence_block_ids") > 0)
+
+
+def row_citations(requests: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, revision_id, citation_ids): the citations of each revision's evidence, in order, each once; none without a resolved evidence."""
+    x = requests.withColumns({"request_id": F.struct("revision_id", "claim_key")})
+    b = build(resolve_requests(x, blocks))
+    g = b.groupBy("document_id", F.col("request_id.revision_id").alias("revision_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("claim_key"), "page_number", "citation_id"))).alias("c"))
+    return g.select("document_id", "revision_id", F.array_distinct(F.transform("c", lambda v: v["citation_id"])).alias("citation_ids"))
+
+
+def lookup(citations: DataFrame, wanted: str) -> DataFrame:
+    """The citation of an id; a text that is no id of a citation is an error."""
+    import re
+
+    if not re.fullmatch(r"cit-[0-9a-f]{24}", wanted):
+        raise ValueError("no id of a citation")
+    return citations.where(F.col("citation_id") == wanted)
+
+
 def build(resolved: DataFrame) -> DataFrame:
     """One row per request and page: citation_id, document_id, page_number, block_ids, boxes, label, claim_key, highlight_metric, highlight_period, split."""
     ok = resolved.where(F.col("reason").isNull())

@@ -42,23 +42,67 @@ def contacts(blocks: DataFrame) -> DataFrame:
     return x.where(F.col("c.email").isNotNull() | F.col("c.phone").isNotNull()).select("document_id", "block_id", F.col("c.n").alias("line_number"), "c.name", "c.email", "c.phone")
 
 
-def publication_dates(blocks: DataFrame) -> DataFrame:
-    """(document_id, published): the only date among the first four blocks of page one, in one of the written forms."""
+# Lines that are no title, lines that are a date, forms of dates in the order in which they are tried.
+NO_TITLE = r"(?i)\b(?:bloomberg|reuters|analysts?|research|target price|price target|rating|telephone|phone|email|disclosures?|contents|page \d+|www\.|equity research|company research|first reaction note|first take|company update|this insert is part of|sector report)\b|\b(?:sector|price)\s*:|@"
+RATING_LINE = r"(?i)^(?:[A-Za-z0-9.&'’\-]+\s+){0,3}(?:buy|hold|sell|overweight|underweight|neutral|outperform|underperform)(?:\s*\([^)]{1,20}\))?$"
+DATE_LINE = r"(?i)^(?:publication date|published|date)?\s*:?[ \t]*(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})$"
+DATE_FORMS = ["d MMMM yyyy", "d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy"]
+TITLE_BLOCKS, TITLE_BAND, DATE_BAND = 40, 0.48, 0.25
+
+
+def front_lines(blocks: DataFrame, pages: DataFrame, band: float) -> DataFrame:
+    """(document_id, block_id, place, y0, height, line_height, lines): cleaned lines of the blocks on top of page one, place counting from 1.
+
+    pages: document_id, page_number, height. A page of unknown height has no top.
+    """
     w = Window.partitionBy("document_id").orderBy("block_order", "block_id")
-    top = blocks.where((F.col("page_number") == 1) & F.col("text").isNotNull()).withColumn("k", F.row_number().over(w)).where("k <= 4")
-    raw = F.regexp_extract_all("text", F.lit(r"(\b\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) 20\d{2}\b|\b20\d{2}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.20\d{2}\b)"), 1)
-    d = top.select("document_id", F.explode(raw).alias("r")).select("document_id", F.coalesce(F.try_to_date("r", "d MMMM yyyy"), F.try_to_date("r", "yyyy-MM-dd"), F.try_to_date("r", "dd.MM.yyyy")).alias("d"))
-    g = d.where(F.col("d").isNotNull()).groupBy("document_id").agg(F.size(F.collect_set("d")).alias("n"), F.first("d").alias("d"))
-    return g.where("n = 1").select("document_id", F.date_format("d", "yyyy-MM-dd").alias("published"))
-
-
-def titles(blocks: DataFrame) -> DataFrame:
-    """(document_id, title, title_score): the best line of the first 40 blocks by length, letters and place; the earlier one on ties."""
-    b = blocks.where((F.col("page_number") == 1) & (F.col("block_order") < 40) & F.col("text").isNotNull())
-    x = b.select("document_id", "block_order", "bbox", F.posexplode(X.split_lines(F.col("text"))).alias("n", "raw")).withColumn("line", X.clean_line(F.col("raw")))
-    words = F.size(F.split("line", " "))
-    letters = F.length(F.regexp_replace("line", r"[^\p{L}]", ""))
-    fine = words.between(3, 24) & F.length("line").between(12, 220) & (letters >= 0.55 * F.length("line")) & ~F.col("line").rlike(r"(?i)\b(?:ticker|bloomberg|reuters|disclosure|rights reserved|equity research)\b|@")
-    score = F.greatest(F.lit(0), 70 - F.col("block_order") * 10 - F.col("n") * 5) + F.least(words, F.lit(12))
-    best = x.where(fine).groupBy("document_id").agg(F.max_by(F.struct("line", score.alias("score")), F.struct(score, -F.col("block_order"), -F.col("n"))).alias("t"))
-    return best.select("document_id", F.col("t.line").alias("title"), F.col("t.score").cast("int").alias("title_score"))
+    b = blocks.where((F.col("page_number") == 1) & (F.trim("text") != "")).withColumn("place", F.row_number().over(w))
+    j = b.join(pages.where(F.col("page_number") == 1).select("document_id", "height"), "document_id").where(F.col("bbox.y0") <= F.col("height") * band)
+    lines = F.filter(F.transform(X.split_lines(F.col("text")), X.clean_line), lambda x: x != "")
+    j = j.withColumn("lines", lines)
+    return j.select("document_id", "block_id", "place", F.col("bbox.y0").alias("y0"), "height", ((F.col("bbox.y1") - F.col("bbox.y0")) / F.greatest(F.size("lines"), F.lit(1))).alias("line_height"), "lines")
+
+
+def written_date(text: Column) -> Column:
+    """A date in the first of DATE_FORMS that fits; null if none does."""
+    t = F.initcap(text)
+    return F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMS])
+
+
+def publication_dates(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, published, block_ids): the only date that lines on the top quarter of page one consist of; null where there are several."""
+    x = front_lines(blocks, pages, DATE_BAND).select("document_id", "block_id", F.explode("lines").alias("line"))
+    d = x.select("document_id", "block_id", written_date(F.nullif(F.regexp_extract("line", DATE_LINE, 1), F.lit(""))).alias("d")).where(F.col("d").isNotNull())
+    g = d.groupBy("document_id").agg(F.size(F.collect_set("d")).alias("n"), F.first("d").alias("d"), F.array_sort(F.collect_set("block_id")).alias("ids"))
+    one = F.col("n") == 1
+    return g.select("document_id", F.when(one, F.date_format("d", "yyyy-MM-dd")).alias("published"), F.when(one, F.col("ids")).alias("block_ids"))
+
+
+def title_score(line: Column, y: Column, height: Column, line_height: Column) -> Column:
+    """Place, height of the letters, number of words and a dash or colon; null for lines that can be no title."""
+    words = F.size(F.regexp_extract_all(line, F.lit(r"([A-Za-z][A-Za-z0-9&'\-/]*)"), 1))
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    fine = words.between(3, 24) & F.length(line).between(12, 220) & ~line.rlike(NO_TITLE) & ~line.rlike(RATING_LINE) & (letters / F.length(line) >= 0.55) & ~line.rlike(r"^[A-Z]{1,6}(?:\s+[A-Z]{2})?$")
+    place = F.greatest(F.lit(0.0), 70.0 - y / F.greatest(height, F.lit(1.0)) * 100.0)
+    return F.when(fine, place + F.least(line_height, F.lit(28.0)) * 2.0 + F.when(words.between(4, 16), 12.0).otherwise(0.0) + F.when(line.rlike("[:\\-–—]"), 4.0).otherwise(0.0))
+
+
+def titles(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, title, title_score, block_id): the best one to three lines of the first blocks in the upper half of page one, the earlier block on ties."""
+    b = front_lines(blocks, pages, TITLE_BAND).where(F.col("place") <= TITLE_BLOCKS).where(F.size("lines") > 0)
+    x = b.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("lines"))))
+    x = x.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("lines") - F.col("at") + 1)))).withColumn("part", F.expr("slice(lines, at, n)"))
+    x = x.where((F.col("n") == 1) | F.forall("part", lambda p: F.size(F.regexp_extract_all(p, F.lit("([A-Za-z0-9]+)"), 1)) >= 2)).withColumn("line", F.array_join("part", " "))
+    x = x.withColumn("score", title_score(F.col("line"), F.col("y0"), F.col("height"), F.col("line_height")) + 6.0 * (F.col("n") - 1)).where(F.col("score").isNotNull())
+    best = x.groupBy("document_id").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "line", "block_id")).alias("t"))
+    return best.select("document_id", F.col("t.line").alias("title"), F.round("t.score", 6).alias("title_score"), F.col("t.block_id").alias("block_id"))
+
+
+# Order of how analysts are named in a report.
+STATUS_ORDER = {"covering": 0, "lead": 1, "relevant": 2}
+
+
+def analyst_order(analysts: DataFrame, key: str) -> DataFrame:
+    """analysts with place: by status, name without regard to case, address; key decides ties."""
+    rank = F.coalesce(*[F.when(F.col("selection_status") == s, k) for s, k in STATUS_ORDER.items()], F.lit(3))
+    return analysts.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(rank, F.lower(F.coalesce("name", F.lit(""))), F.coalesce("email", F.lit("")), key)))

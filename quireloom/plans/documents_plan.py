@@ -199,17 +199,9 @@ def contact_extract(spark: SparkSession, d: str) -> DataFrame:
     return K.contacts(_blocks(spark, d))
 
 
-def publication_date(spark: SparkSession, d: str) -> DataFrame:
-    return K.publication_dates(_blocks(spark, d))
-
-
-def report_title(spark: SparkSession, d: str) -> DataFrame:
-    return K.titles(_blocks(spark, d))
-
-
 def queries() -> dict:
     fs = [revision_arithmetic, reconcile_tolerance, conflict_flag, revision_summary, unexplained_revisions, question_groups, brief_rows_topk, estimate_bars, consensus_unique_join, candidate_blocks, text_revisions, revision_recall, document_revisions, revision_statuses, context_signals, passage_score,
-          passage_budget, semantic_tokens, claim_support, driver_links, driver_items, citation_requests_status, citation_build, citation_dedup, claim_bindings, citation_stale, highlight_boxes, contact_extract, publication_date, report_title]
+          passage_budget, semantic_tokens, claim_support, driver_links, driver_items, citation_requests_status, citation_build, citation_dedup, claim_bindings, citation_stale, highlight_boxes, contact_extract]
     return {f.__name__: f for f in fs}
 
 
