@@ -497,11 +497,11 @@ def _letters(c: Column) -> Column:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """See TESTDATA.md. A name that is the house which the block's file is of is no person's."""
-    blocks = spark.read.parquet(f"{d}/blocks.parquet").select("block_id", "source_filename", "text").distinct()
+    """See TESTDATA.md. A name that is the house which the block's file is of is no person's. Repeated rows are dropped from the result, so no text is shuffled."""
+    blocks = spark.read.parquet(f"{d}/blocks.parquet").select("block_id", "source_filename", "text")
     house = _letters(F.regexp_extract("source_filename", r"^[^_]*_(.+)_[^_]*$", 1))
     blocks = blocks.select(F.concat(F.lit("blocks "), "block_id", F.lit(" "), F.coalesce(house, F.lit(""))).alias("key"), "text")
-    a = spark.read.parquet(f"{d}/analysts.parquet").select(F.col("analyst_row_id").cast("string").alias("key"), F.explode(F.array("name", "email", "phone")).alias("text")).distinct()
+    a = spark.read.parquet(f"{d}/analysts.parquet").select(F.col("analyst_row_id").cast("string").alias("key"), F.explode(F.array("name", "email", "phone")).alias("text"))
     both = blocks.unionByName(a.select(F.concat(F.lit("analysts "), "key", F.lit(" ")).alias("key"), "text"))
     found = find_details(both.where(F.col("text").isNotNull() & F.col("key").isNotNull()), "key", "text")
     table, rest, house = F.substring_index("key", " ", 1), F.expr("substring(key, length(substring_index(key, ' ', 1)) + 2)"), F.substring_index("key", " ", -1)
