@@ -45,7 +45,7 @@ def neutral_text(text: Column) -> Column:
 
 
 def sibling_problems(rows: DataFrame, group: list[str], order: list[str], key: list[Column], scope: list[Column], text: Column) -> DataFrame:
-    """rows with sibling: duplicate (an earlier row of the group has the key), contradiction or null.
+    """rows with sibling: duplicate (an earlier accepted row of the group has the key), contradiction or null.
 
     A contradiction has a direction that no earlier accepted row of its scope
     has. As there are two directions, the accepted rows before need not be
@@ -53,12 +53,12 @@ def sibling_problems(rows: DataFrame, group: list[str], order: list[str], key: l
     both, nothing contradicts any more.
     """
     g = [F.col(c) for c in group]
-    p = F.array_sort(G.polarities(text))
-    before = Window.partitionBy(*g, *scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    x = rows.withColumns({"_p": p, "_dup": F.row_number().over(Window.partitionBy(*g, *key).orderBy(*order)) > 1})
-    x = x.withColumns({"_first": F.first(F.when(F.size("_p") > 0, F.col("_p")), ignorenulls=True).over(before), "_both": F.coalesce(F.max(F.size("_p") == 2).over(before), F.lit(False))})
-    against = (F.size("_p") > 0) & F.col("_first").isNotNull() & ~F.arrays_overlap("_p", F.coalesce("_first", "_p")) & ~F.col("_both")
-    return x.withColumn("sibling", F.when(F.col("_dup"), "duplicate").when(against, "contradiction")).drop("_p", "_dup", "_first", "_both")
+    before = lambda by: Window.partitionBy(*g, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.withColumn("_p", F.array_sort(G.polarities(text)))
+    x = x.withColumns({"_first": F.first(F.when(F.size("_p") > 0, F.col("_p")), ignorenulls=True).over(before(scope)), "_both": F.coalesce(F.max(F.size("_p") == 2).over(before(scope)), F.lit(False))})
+    x = x.withColumn("_against", (F.size("_p") > 0) & F.col("_first").isNotNull() & ~F.arrays_overlap("_p", F.coalesce("_first", "_p")) & ~F.col("_both"))
+    x = x.withColumn("_dup", F.coalesce(F.max(~F.col("_against")).over(before(key)), F.lit(False)))
+    return x.withColumn("sibling", F.when(F.col("_dup"), "duplicate").when(F.col("_against"), "contradiction")).drop("_p", "_first", "_both", "_against", "_dup")
 
 
 def safe_source(path: Column) -> Column:

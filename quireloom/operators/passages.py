@@ -46,7 +46,9 @@ def matched(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 
 def with_positions(blocks: DataFrame) -> DataFrame:
-    """Blocks with their position in the document and on the page, by page and order."""
+    """Blocks with their position in the document and on the page, by page and order; blocks that have them stay as they are."""
+    if "on_page" in blocks.columns:
+        return blocks
     d, p = Window.partitionBy("document_id").orderBy("page_number", "block_order", "block_id"), Window.partitionBy("document_id", "page_number").orderBy("block_order", "block_id")
     return blocks.select("document_id", "page_number", "block_order", "block_id", "text").withColumns({"pos": F.row_number().over(d), "on_page": F.row_number().over(p)})
 

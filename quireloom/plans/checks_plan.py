@@ -192,8 +192,9 @@ SELECT claim_id, coalesce(CASE WHEN json_valid(t) THEN list_sort(json_keys(t)) =
 b AS (SELECT DISTINCT document_id, block_id FROM blocks), v AS (SELECT c.claim_id, c.document_id, ordinal, trim(c.text) AS said, list_filter({ids.format("c.evidence_block_ids")}, lambda i: list_contains(k.known, i)) AS ids FROM c JOIN ok ON ok.claim_id = c.claim_id AND ok.valid JOIN (SELECT document_id, list(block_id) AS known FROM b GROUP BY 1) k ON k.document_id = c.document_id WHERE kind = 'first_read'),
 x AS (SELECT claim_id, document_id, ordinal, ids, no, pre || said AS text FROM v, (VALUES (0, ''), (1, ''), (2, 'We raised it: '), (3, 'We cut it: '), (4, 'We raised and cut it: '), (5, 'We lowered it: ')) f(no, pre)),
 y AS (SELECT *, {_POLES.format("text")} AS p, {_NEUTRAL} AS neutral, lower(trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS same FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY document_id, same, ids ORDER BY ordinal, claim_id, no) AS k, list(p) OVER (PARTITION BY document_id, ids, neutral ORDER BY ordinal, claim_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM y)
-SELECT claim_id, no, CASE WHEN k > 1 THEN 'duplicate' WHEN len(p) > 0 AND len(list_filter(ps, lambda q: len(q) > 0)) > 0 AND len(list_filter(ps, lambda q: len(q) = 2)) = 0 AND NOT list_has_any(p, list_filter(ps, lambda q: len(q) > 0)[1]) THEN 'contradiction' END AS sibling FROM z""",
+z AS (SELECT *, list(p) OVER (PARTITION BY document_id, ids, neutral ORDER BY ordinal, claim_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM y),
+q AS (SELECT *, coalesce(len(p) > 0 AND len(list_filter(ps, lambda q: len(q) > 0)) > 0 AND len(list_filter(ps, lambda q: len(q) = 2)) = 0 AND NOT list_has_any(p, list_filter(ps, lambda q: len(q) > 0)[1]), false) AS against FROM z)
+SELECT claim_id, no, CASE WHEN bool_or(NOT against) OVER (PARTITION BY document_id, same, ids ORDER BY ordinal, claim_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate' WHEN against THEN 'contradiction' END AS sibling FROM q""",
         "warning_filter": f"""WITH w AS (SELECT revision_id, list_filter(list_concat(coalesce(warnings, []), [direction, unit, upper(direction), 'zero_old_value_no_relative_revision', extraction_method, CASE WHEN revision_id % 2 = 0 THEN 'consensus_unit_mismatch' END, direction]), lambda x: x IS NOT NULL) AS w FROM {_R}),
 u AS (SELECT revision_id, {ids.format("w")} AS w FROM w) SELECT revision_id, coalesce(array_to_string(list_filter(w, lambda x: regexp_matches(x, '^[a-z][a-z0-9_]{{0,79}}$')), '|'), '') AS codes, coalesce(array_to_string(list_filter(w, lambda x: x IN ('old_new_unit_mismatch', 'consensus_unit_mismatch', 'zero_old_value_no_relative_revision', 'stated_calculated_revision_mismatch', 'stated_calculated_percentage_point_mismatch', 'conflicting_candidates_same_metric_period')), '|'), '') AS material FROM u""",
         "safe_sources": r"""WITH p AS (SELECT DISTINCT unnest([source_filename, 'a/b/' || source_filename, '../' || source_filename, '/a/' || source_filename, 'a//' || source_filename, 'a/./' || source_filename, 'a\' || source_filename, upper(source_filename)]) AS path FROM blocks UNION SELECT path FROM documents)

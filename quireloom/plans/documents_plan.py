@@ -121,9 +121,9 @@ def context_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str):  # noqa: ANN202
-    b = _blocks(spark, d)
+    b = cut(P.with_positions(_blocks(spark, d)))  # written once: the contributions read only their columns of it
     r = _revisions(spark, d).select("document_id", "metric", F.flatten("evidence.block_ids").alias("block_ids"))
-    return b, P.scores(b, r, R.candidate_blocks(b))
+    return b, cut(P.scores(b, r, R.candidate_blocks(b)))
 
 
 def passage_score(spark: SparkSession, d: str) -> DataFrame:
