@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quireloom.session import cut
 
 MIN_DOCS, SHARE_TENTHS = 3, 3
-WINDOW, LEVELS = 4, (4, 3, 2, 1)  # zero bits of the hash at a chunk's end: 16, 8, 4, 2 bytes a chunk on average
+WINDOW, LEVELS = 4, (5, 4, 3, 2, 1)  # zero bits of the hash at a chunk's end: 32, 16, 8, 4, 2 bytes a chunk on average
 _BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 
 
