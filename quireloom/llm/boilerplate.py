@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quireloom.session import cut
 
 MIN_DOCS, SHARE_TENTHS = 3, 3
-WINDOW, LEVELS = 4, (5, 4, 3, 2, 1)  # zero bits of the hash at a chunk's end: 32, 16, 8, 4, 2 bytes a chunk on average
+WINDOW, LEVELS = 4, (4, 3, 2, 1)  # zero bits of the hash at a chunk's end: 16, 8, 4, 2 bytes a chunk on average
 _BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 
 
@@ -167,7 +167,8 @@ def excessive(items: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     rows has too few documents. Only the rest is counted by distinct documents.
     """
     enough = lambda n: (F.col(n) >= MIN_DOCS) & (F.col(n) * 10 >= F.col("n_all") * SHARE_TENTHS)
-    often = items.groupBy("source", key).agg(F.count("*").alias("n_rows")).join(sizes, "source").where(enough("n_rows"))
+    # Written, so that its size is known: a small one is sent to the rows instead of sorting them.
+    often = cut(items.groupBy("source", key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= MIN_DOCS).join(sizes, "source").where(enough("n_rows")))
     docs = items.join(often, ["source", key]).select("source", key, "n_all", "document_id").distinct()
     return docs.groupBy("source", key, "n_all").agg(F.count("document_id").alias("n_docs")).where(enough("n_docs")).select("source", key, "n_docs")
 
@@ -178,9 +179,9 @@ def repeated_lines(blocks: DataFrame) -> DataFrame:
     lines, sizes = cut(chunked_lines(blocks)), cut(source_sizes(blocks))
     # The chunks in 3/10 of a source's documents are at most 10/3 of the chunks of one document, however large the source.
     bad = cut(excessive(lines.select("source", "document_id", F.explode("chunks").alias("chunk")), "chunk", sizes))
-    marked = lines.select("source", "line_hash", F.explode("chunks").alias("chunk")).join(bad, ["source", "chunk"], "left_semi").select("source", "line_hash").distinct()
+    marked = cut(lines.select("source", "line_hash", F.explode("chunks").alias("chunk")).join(bad, ["source", "chunk"], "left_semi").select("source", "line_hash").distinct())
     marked = lines.select("block_id", "document_id", "source", "line_no", "line_hash").join(marked, ["source", "line_hash"], "left_semi")
-    sure = excessive(marked, "line_hash", sizes)
+    sure = cut(excessive(marked, "line_hash", sizes))
     return marked.join(sure, ["source", "line_hash"], "left_semi").select("block_id", "document_id", "line_no").distinct()
 
 
