@@ -232,6 +232,11 @@ FROM (SELECT request_id, document_id, label, claim_key, i, CASE WHEN i IS NOT NU
 LEFT JOIN {_ALL} b ON b.document_id = q.document_id AND b.block_id = q.block_id)"""
 
 
+_BUILT = f"""WITH g AS (SELECT request_id, document_id, page_number, any_value(label) AS label, '"' || string_agg(block_id, '","' ORDER BY i) || '"' AS ids, list_sort(list_distinct(list(bbox))) AS boxes, count(DISTINCT bbox) AS n_boxes FROM {_REQ} WHERE reason IS NULL GROUP BY 1, 2, 3),
+h AS (SELECT g.*, q.claim_key, coalesce('"' || highlight_metric || '"', 'null') AS hm, coalesce('"' || highlight_period || '"', 'null') AS hp FROM g JOIN (SELECT DISTINCT ON (request_id) * FROM citation_requests ORDER BY request_id) q USING (request_id)),
+built AS (SELECT *, 'cit-' || substr(sha256('{{"document_id":"' || document_id || '","evidence_block_ids":[' || ids || '],"highlight_metric":' || hm || ',"highlight_period":' || hp || ',"page_number":' || page_number || ',"schema":1}}'), 1, 24) AS citation_id FROM h)"""
+
+
 def oracle_sql() -> dict:
     unit = "(CASE WHEN unit IN ('%', 'pct', 'percent', 'per cent') THEN '%' WHEN unit IN ('bp', 'bps', 'basis_points') THEN 'bp' END)"
     quals, period = "array_to_string(metric_qualifiers, '|')", "coalesce(fiscal_period, '')"
@@ -250,9 +255,16 @@ def oracle_sql() -> dict:
         "context_signals": f"SELECT document_id, array_to_string({lists}, '|') AS contexts FROM (SELECT document_id, {flags} FROM {_LIVE} WHERE text IS NOT NULL GROUP BY 1)",
         "semantic_tokens": f"SELECT DISTINCT claim_id, array_to_string(list_sort({_tokens('text', True)}), '|') AS tokens FROM claims WHERE text IS NOT NULL",
         "citation_requests_status": f"SELECT request_id, any_value(reason) AS reason, count(DISTINCT page_number) AS n_pages FROM {_REQ} GROUP BY 1",
-        "citation_dedup": f"""WITH g AS (SELECT request_id, document_id, page_number, any_value(label) AS label, '"' || string_agg(block_id, '","' ORDER BY i) || '"' AS ids FROM {_REQ} WHERE reason IS NULL GROUP BY ALL),
-h AS (SELECT g.*, coalesce('"' || highlight_metric || '"', 'null') AS hm, coalesce('"' || highlight_period || '"', 'null') AS hp FROM g JOIN (SELECT DISTINCT ON (request_id) * FROM citation_requests ORDER BY request_id) q USING (request_id))
-SELECT 'cit-' || substr(sha256('{{"document_id":"' || document_id || '","evidence_block_ids":[' || ids || '],"highlight_metric":' || hm || ',"highlight_period":' || hp || ',"page_number":' || page_number || ',"schema":1}}'), 1, 24) AS citation_id, document_id, page_number, arg_min(label, request_id) AS label FROM h GROUP BY document_id, page_number, ids, hm, hp""",
+        "citation_dedup": f"""{_BUILT} SELECT citation_id, document_id, page_number, arg_min(label, request_id) AS label FROM built GROUP BY 1, 2, 3""",
+        "citation_build": f"""{_BUILT} SELECT request_id, citation_id, document_id, page_number, replace(replace(ids, '","', '|'), '"', '') AS block_ids, CAST(n_boxes AS INTEGER) AS n_boxes, count(*) OVER (PARTITION BY request_id) > 1 AS split FROM built""",
+        "claim_bindings": f"""{_BUILT} SELECT DISTINCT claim_key, citation_id FROM built WHERE claim_key IS NOT NULL""",
+        "citation_stale": f"""{_BUILT}, c AS (SELECT citation_id, document_id, page_number, any_value(ids) AS ids, any_value(boxes) AS boxes FROM built GROUP BY 1, 2, 3),
+k AS (SELECT citation_id, document_id, page_number, boxes, unnest(string_split(trim(ids, '"'), '","')) AS block_id FROM c), j AS (SELECT k.*, b.page_number AS p, b.bbox FROM k LEFT JOIN {_LIVE} b USING (document_id, block_id))
+SELECT citation_id, CASE WHEN bool_or(p IS NULL) THEN 'missing_block' WHEN bool_or(p <> page_number) THEN 'moved' WHEN list_sort(list_distinct(list(bbox))) IS DISTINCT FROM any_value(boxes) THEN 'changed' ELSE 'valid' END AS status FROM j GROUP BY citation_id""",
+        "driver_items": f"""WITH c AS (SELECT DISTINCT ON (driver_id) * FROM drivers ORDER BY driver_id), x AS (SELECT driver_id, document_id, ids[i] AS block_id, i FROM (SELECT driver_id, document_id, list_filter(evidence_block_ids, lambda x, j: list_position(evidence_block_ids, x) = j)[1:100] AS ids FROM c), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)),
+e AS (SELECT driver_id, lower(coalesce(string_agg(b.text, chr(10) ORDER BY i), '')) AS low FROM x LEFT JOIN {_ALL} b USING (document_id, block_id) GROUP BY 1), r AS (SELECT document_id, list(DISTINCT metric) AS ms, list(DISTINCT fiscal_period) AS ps FROM {_R} GROUP BY 1),
+k AS (SELECT c.driver_id, list_filter(list_filter(impacted_metrics, lambda x, j: list_position(impacted_metrics, x) = j), lambda x: list_contains(ms, x) AND contains(coalesce(low, ''), lower(replace(x, '_', ' ')))) AS m, list_filter(list_filter(fiscal_periods, lambda x, j: list_position(fiscal_periods, x) = j), lambda x: list_contains(ps, x) AND contains(coalesce(low, ''), lower(replace(x, '_', ' ')))) AS p, len(list_distinct(impacted_metrics)) AS n FROM c LEFT JOIN e USING (driver_id) LEFT JOIN r USING (document_id))
+SELECT driver_id, coalesce(array_to_string(m, '|'), '') AS metrics, coalesce(array_to_string(p, '|'), '') AS periods, CAST(coalesce(n, 0) - coalesce(len(m), 0) AS INTEGER) AS n_metrics_dropped FROM k""",
         "claim_support": f"""WITH c AS (SELECT DISTINCT ON (claim_id) claim_id, document_id, text, evidence_block_ids FROM claims ORDER BY claim_id),
 x AS (SELECT claim_id, document_id, i, ids[i] AS block_id FROM (SELECT claim_id, document_id, list_filter(evidence_block_ids, lambda x, j: list_position(evidence_block_ids, x) = j) AS ids FROM c), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)),
 e AS (SELECT claim_id, coalesce(string_agg(b.text, chr(10) ORDER BY i), '') AS evidence, count(b.block_id) AS n, bool_or(b.block_id IS NULL) AS dropped FROM x LEFT JOIN {_ALL} b USING (document_id, block_id) GROUP BY 1),
