@@ -237,6 +237,36 @@ h AS (SELECT g.*, q.claim_key, coalesce('"' || highlight_metric || '"', 'null')
 built AS (SELECT *, 'cit-' || substr(sha256('{{"document_id":"' || document_id || '","evidence_block_ids":[' || ids || '],"highlight_metric":' || hm || ',"highlight_period":' || hp || ',"page_number":' || page_number || ',"schema":1}}'), 1, 24) AS citation_id FROM h)"""
 
 
+# RE2 has no look-around: what must not stand beside a match is read as a sign that may stand there.
+_FREE = r"(?:^|[^A-Za-z0-9])", r"(?:$|[^A-Za-z0-9])"
+_NUMBER_SQL = _FREE[0] + r"\(?\s*(?:[A-Z]{3}\s*|[€$£¥]\s*)?[-+−]?\d(?:[\d.,]*\d)?\s*(?:%|bps?|bp|ppts?|pts?|pp|bn|mn|m|b|k)?(?:\s*/\s*share)?\)?" + _FREE[1]
+_PERIOD_SQL = r"\b(?:0?[1-9]|1[0-2])/\d{2}E?\b|\b(?:[1-4]Q|Q[1-4])\s*(?:20\d{2}|\d{2})E?\b|\b(?:[12]H|H[12])\s*(?:20\d{2}|\d{2})E?\b|(?:^|[^\d/.,])\b(?:(?:FY|CY)\s*)?(?:20\d{2}|\d{2})E?\b(?:$|[^\d/%.,])"
+_HAS = lambda p: "regexp_matches(flat, '(?i)" + p.replace("'", "''") + "')"
+_CANDIDATES = f"""(SELECT document_id, page_number, block_id FROM (SELECT *, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS flat FROM {_LIVE} WHERE text IS NOT NULL)
+WHERE NOT {_HAS(N.DISCLOSURE)} AND ({_HAS(R.HEADING)} OR {_HAS(r"\b(?:old|previous|prev\.?)\b.*\b(?:new|current|revised)\b|\b(?:new|current|revised)\b.*\b(?:old|previous|prev\.?)\b")}
+ OR ({_HAS("|".join(f"(?:{p})" for _, p in N.METRICS))} AND CAST({_HAS(N.SIGNAL)} AS INT) + CAST({_HAS(N.CONSENSUS)} AS INT) + CAST({_HAS(_PERIOD_SQL)} AS INT) + CAST({_HAS(_NUMBER_SQL)} AS INT) >= 3)))"""
+
+
+_TXT = lambda p: "regexp_matches(text, '(?is)(?:" + p.replace("'", "''") + ")')"
+_NAMED = lambda ps: "list_filter([" + ", ".join(f"CASE WHEN {_TXT(p)} THEN '{n}' END" for n, p in ps) + "], lambda x: x IS NOT NULL)"
+_K = P.SCORES
+_SCORED = f"""RECURSIVE b AS (SELECT document_id, page_number, block_id, text, row_number() OVER (PARTITION BY document_id ORDER BY page_number, block_order, block_id) AS pos, row_number() OVER (PARTITION BY document_id, page_number ORDER BY block_order, block_id) AS on_page FROM {_LIVE}),
+ev AS (SELECT b.* FROM b JOIN (SELECT document_id, unnest(flatten(list_transform(evidence, lambda e: e.block_ids))) AS block_id FROM {_R} UNION SELECT document_id, block_id FROM {_CANDIDATES}) USING (document_id, block_id)),
+own AS (SELECT *, {_NAMED(P.SIGNALS)} AS sig, {_NAMED(P.CONTEXTS)} AS ctx, {_TXT(P.CAUSAL)} OR {_TXT(P.INFERRED)} AS causal, replace(lower(text), '_', ' ') AS low FROM b WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i){N.DISCLOSURE}')),
+fi AS (SELECT DISTINCT document_id, pos FROM (SELECT document_id, c, min(pos) AS pos FROM (SELECT document_id, pos, unnest(ctx) AS c FROM own) GROUP BY 1, 2)),
+me AS (SELECT document_id, list(DISTINCT replace(metric, '_', ' ')) AS ms FROM {_R} GROUP BY 1), pg AS (SELECT DISTINCT document_id, unnest([page_number - 1, page_number, page_number + 1]) AS page_number FROM ev),
+base AS (SELECT document_id, block_id, {_K["opening_context"]} AS score, 0 AS ord, 'opening_context' AS reason FROM b WHERE page_number = 1 AND on_page <= 4 UNION ALL SELECT document_id, block_id, {_K["revision_evidence"]}, 1, 'revision_evidence' FROM ev
+ UNION ALL SELECT b.document_id, b.block_id, {_K["adjacent_to_revision"]}, 2, 'adjacent_to_revision' FROM ev JOIN b ON b.document_id = ev.document_id AND b.page_number = ev.page_number AND abs(b.pos - ev.pos) BETWEEN 1 AND 2
+ UNION ALL SELECT document_id, block_id, len(sig) * {_K["signal"]}, 3, 'signal:' || array_to_string(sig, ',') FROM own WHERE len(sig) > 0
+ UNION ALL SELECT document_id, block_id, CASE WHEN (document_id, pos) IN (SELECT (document_id, pos) FROM fi) THEN {_K["first_context"]} ELSE {_K["later_context"]} END, 4, 'direct_context:' || array_to_string(ctx, ',') FROM own WHERE len(ctx) > 0
+ UNION ALL SELECT document_id, block_id, {_K["direct_causal_language"]}, 5, 'direct_causal_language' FROM own WHERE causal
+ UNION ALL SELECT document_id, block_id, {_K["opening_page_signal"]}, 6, 'opening_page_signal' FROM own WHERE page_number <= 2 AND len(sig) > 0
+ UNION ALL SELECT own.document_id, block_id, {_K["nearby_revision_metric"]}, 7, 'nearby_revision_metric' FROM own JOIN pg USING (document_id, page_number) JOIN me ON me.document_id = own.document_id WHERE len(list_filter(ms, lambda m: contains(low, m))) > 0),
+rf AS (SELECT document_id, CAST(unnest(regexp_extract_all(text, '(?i)\\b(?:see|refer to)\\s+(?:section\\s+)?(?:on\\s+)?page\\s+(\\d{{1,3}})\\b', 1)) AS INT) AS page_number FROM b WHERE (document_id, block_id) IN (SELECT (document_id, block_id) FROM base)),
+al AS (SELECT * FROM base UNION ALL SELECT b.document_id, b.block_id, {_K["explicit_cross_reference"]}, 8, 'explicit_cross_reference' FROM rf JOIN b ON b.document_id = rf.document_id AND b.page_number = rf.page_number AND on_page <= 4),
+sc AS (SELECT document_id, block_id, sum(score)::BIGINT AS score, array_to_string(list_transform(list_sort(list(DISTINCT {{'o': ord, 'r': reason}})), lambda x: x.r), '|') AS reasons FROM al GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict:
     unit = "(CASE WHEN unit IN ('%', 'pct', 'percent', 'per cent') THEN '%' WHEN unit IN ('bp', 'bps', 'basis_points') THEN 'bp' END)"
     quals, period = "array_to_string(metric_qualifiers, '|')", "coalesce(fiscal_period, '')"
@@ -255,6 +285,12 @@ def oracle_sql() -> dict:
         "context_signals": f"SELECT document_id, array_to_string({lists}, '|') AS contexts FROM (SELECT document_id, {flags} FROM {_LIVE} WHERE text IS NOT NULL GROUP BY 1)",
         "semantic_tokens": f"SELECT DISTINCT claim_id, array_to_string(list_sort({_tokens('text', True)}), '|') AS tokens FROM claims WHERE text IS NOT NULL",
         "citation_requests_status": f"SELECT request_id, any_value(reason) AS reason, count(DISTINCT page_number) AS n_pages FROM {_REQ} GROUP BY 1",
+        "candidate_blocks": f"SELECT * FROM {_CANDIDATES}",
+        "passage_score": f"WITH {_SCORED} SELECT * FROM sc",
+        "passage_budget": f"""WITH {_SCORED}, rk AS (SELECT sc.document_id, sc.block_id, score, length(trim(text)) AS n, row_number() OVER (PARTITION BY sc.document_id ORDER BY score DESC, page_number, pos, sc.block_id) AS k FROM sc JOIN b USING (document_id, block_id) WHERE length(trim(text)) > 0),
+fo AS (SELECT document_id, 0::BIGINT AS k, 0 AS taken, 0::BIGINT AS used, NULL::VARCHAR AS block_id, NULL::BIGINT AS score, NULL::BIGINT AS take FROM rk GROUP BY document_id UNION ALL
+ SELECT rk.document_id, rk.k, taken + ok, used + ok * least(n, 12000 - used), CASE WHEN ok = 1 THEN rk.block_id END, rk.score, least(n, 12000 - used) FROM (SELECT fo.document_id, fo.k, fo.taken, fo.used FROM fo) fo JOIN rk ON rk.document_id = fo.document_id AND rk.k = fo.k + 1, LATERAL (SELECT CAST(taken < 24 AND used < 12000 AND (taken = 0 OR n <= 12000 - used) AS INT) AS ok))
+SELECT document_id, taken AS rank, block_id, score, take AS n_chars FROM fo WHERE block_id IS NOT NULL""",
         "citation_dedup": f"""{_BUILT} SELECT citation_id, document_id, page_number, arg_min(label, request_id) AS label FROM built GROUP BY 1, 2, 3""",
         "citation_build": f"""{_BUILT} SELECT request_id, citation_id, document_id, page_number, replace(replace(ids, '","', '|'), '"', '') AS block_ids, CAST(n_boxes AS INTEGER) AS n_boxes, count(*) OVER (PARTITION BY request_id) > 1 AS split FROM built""",
         "claim_bindings": f"""{_BUILT} SELECT DISTINCT claim_key, citation_id FROM built WHERE claim_key IS NOT NULL""",
