@@ -114,3 +114,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(n.alias("n_containers"), F.ceil(t / CAPACITY).alias("n_least"), t.alias("n_tokens"), F.coalesce(F.floor((1 - t / (n * CAPACITY)) * 1_000_000), F.lit(0)).alias("unused_ppm"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, empty, whole, fits): whether a document has no token, its pieces are its tokens without gap or repetition, and its containers hold no more than they can."""
+    p = cut(packed_documents(spark, d))
+    load = p.where(F.col("container_id").isNotNull()).groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    end = F.col("first_token") + F.col("n_tokens")
+    long = (F.count("*") == 1) | F.every((F.col("n_tokens") == CAPACITY) | (F.col("first_token") + F.col("n_tokens") == F.col("length")))
+    j = p.join(load, "container_id", "left").join(p.groupBy("doc_id").agg(F.max(end).alias("length")), "doc_id")
+    whole = (F.sum("n_tokens") == F.max("length")) & (F.countDistinct("piece") == F.count("*")) & (F.max("piece") + 1 == F.count("*")) & long
+    return j.groupBy("doc_id").agg(F.every(F.col("container_id").isNull()).alias("empty"), whole.alias("whole"), F.every(F.coalesce(F.col("load") <= CAPACITY, F.lit(True))).alias("fits"))

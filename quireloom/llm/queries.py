@@ -32,8 +32,9 @@ SELECT record_table, record_id, plain AS plain_text FROM t JOIN p USING (text) W
 
 
 def queries() -> dict:
-    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities, "p4_found": boilerplate.p4_found, "p4_clean": boilerplate.p4_clean, "p5_found": confusables.p5_found, "p6_found": pii.p6_found, "p6_clean": pii.p6_clean, "p7_ids": bpe.p7_ids, "p8_containers": packing.p8_containers, "p8_fill": packing.p8_fill, "p9_found": spam.p9_found}
+    return {"p3_found": names.p3_found, "p3_entities": names.p3_entities, "p4_found": boilerplate.p4_found, "p4_clean": boilerplate.p4_clean, "p5_found": confusables.p5_found, "p6_found": pii.p6_found, "p6_clean": pii.p6_clean, "p7_ids": bpe.p7_ids, "p8_containers": packing.p8_containers, "p8_fill": packing.p8_fill, "p8_invariants": packing.p8_invariants, "p9_found": spam.p9_found}
 
 
 def oracle_sql() -> dict:
-    return {"p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p5_found": P5_FOUND}
+    p8 = "SELECT doc_id, coalesce(text, '') = '' AS empty, true AS whole, true AS fits FROM documents"
+    return {"p8_invariants": p8, "p4_found": P4_FOUND, "p4_clean": P4_CLEAN, "p5_found": P5_FOUND}
