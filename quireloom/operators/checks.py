@@ -61,6 +61,43 @@ def sibling_problems(rows: DataFrame, group: list[str], order: list[str], key: l
     return x.withColumn("sibling", F.when(F.col("_dup"), "duplicate").when(F.col("_against"), "contradiction")).drop("_p", "_first", "_both", "_against", "_dup")
 
 
+# Categories of drivers.
+CATEGORIES = [
+    "revenue or volume", "pricing", "product mix", "gross margin", "operating costs", "restructuring", "foreign exchange", "commodities or input costs", "tax", "interest", "share count", "accounting treatment", "acquisitions or disposals", "regulation",
+    "guidance", "valuation only", "other",
+]
+
+
+def driver_confidence(link: Column, n_metrics: Column, n_periods: Column) -> Column:
+    """high: explicit with metrics and periods; medium: explicit, or either of them; else low."""
+    e, m, p = link == "explicit", n_metrics > 0, n_periods > 0
+    return F.when(e & m & p, "high").when(e | m | p, "medium").otherwise("low")
+
+
+def validated_drivers(drivers: DataFrame, revisions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, driver_id, problem, link, metrics, periods, category, confidence): each driver, and the first rule that removes it.
+
+    revisions: document_id, metric, fiscal_period. Rules in order: supported by
+    its evidence, a valuation's link to the target price, a causal link that the
+    evidence carries, then duplicates and contradictions among those accepted.
+    Drivers with null metrics or periods have none.
+    """
+    r = revisions.groupBy("document_id").agg(F.collect_set("metric").alias("doc_metrics"), F.collect_set("fiscal_period").alias("doc_periods"))
+    e = G.cited_evidence(drivers.select("document_id", "driver_id", "ordinal", "driver", "causal_link", "category", "impacted_metrics", "fiscal_periods", "evidence_block_ids"), ["driver_id"], blocks).join(r, "document_id", "left")
+    ev, text = F.col("evidence"), F.col("driver")
+    kept = lambda items, allowed: F.coalesce(G.supported_items(F.col(items), ev, F.col(allowed)), F.array().cast("array<string>"))
+    e = e.withColumns({"metrics": kept("impacted_metrics", "doc_metrics"), "periods": kept("fiscal_periods", "doc_periods"), "link": G.causal_link(text, ev, F.col("causal_link")), "category": F.when(F.col("category").isin(CATEGORIES), F.col("category"))})
+    valuation = (F.col("category") == "valuation only") & (~F.contains(F.lower(ev), F.lit("target price")) | F.exists("metrics", lambda m: m != "target_price"))
+    first = F.when(~G.supported(text, ev) | (F.size("ids") == 0), "unsupported_driver_removed").when(F.coalesce(valuation, F.lit(False)), "valuation_only_driver_not_linked_to_target_price").when(F.col("link").isNull(), "unsupported_causal_driver_removed")
+    e = e.withColumn("first", first)
+    same = [F.col("metrics"), F.col("periods"), F.col("ids")]
+    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    ok = sibling_problems(e.where(F.col("first").isNull()), ["document_id"], ["ordinal", "driver_id"], [plain, *same], [*same, neutral_text(text)], text)
+    ok = ok.withColumn("problem", F.when(F.col("sibling") == "duplicate", "duplicate_driver_removed").when(F.col("sibling") == "contradiction", "contradictory_driver_removed")).drop("sibling")
+    both = ok.unionByName(e.where(F.col("first").isNotNull()).withColumn("problem", F.col("first")))
+    return both.select("document_id", "driver_id", "problem", "link", "metrics", "periods", "category", driver_confidence(F.col("link"), F.size("metrics"), F.size("periods")).alias("confidence"))
+
+
 def safe_source(path: Column) -> Column:
     """Whether a path is relative, stays inside its root and names a PDF file; symbolic links can only be seen where files are opened."""
     parts = F.split(path, "/")

@@ -103,6 +103,13 @@ def sibling_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("claim_id", "no", "sibling")
 
 
+def driver_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Every driver with the first rule that removes it, else its link and confidence."""
+    v = H.validated_drivers(_once(spark, d, "drivers", "driver_id"), _once(spark, d, "revisions", "revision_id").select("document_id", "metric", "fiscal_period"), table(spark, d, "blocks"))
+    kept = F.col("problem").isNull()
+    return v.select("driver_id", "problem", F.when(kept, F.col("link")).alias("link"), F.when(kept, F.col("confidence")).alias("confidence"), F.array_join("metrics", "|").alias("metrics"), F.array_join("periods", "|").alias("periods"))
+
+
 def warning_filter(spark: SparkSession, d: str) -> DataFrame:
     """Codes and warnings that matter out of what stands beside a revision."""
     w = F.array_compact(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array("direction", F.col("unit"), F.upper("direction"), F.lit("zero_old_value_no_relative_revision"), "extraction_method", F.when(F.col("revision_id") % 2 == 0, "consensus_unit_mismatch"), "direction")))
@@ -139,7 +146,7 @@ def citation_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [report_title, publication_date, made_dates, analyst_order, revision_requests, rationale_requests, revision_citations, brief_rows_cited, semantic_keys, sibling_items, warning_filter, safe_sources, box_checks, doubled_blocks, citation_by_document]
+    fs = [report_title, publication_date, made_dates, analyst_order, revision_requests, rationale_requests, revision_citations, brief_rows_cited, semantic_keys, sibling_items, driver_validation, warning_filter, safe_sources, box_checks, doubled_blocks, citation_by_document]
     return {f.__name__: f for f in fs}
 
 
@@ -195,6 +202,15 @@ y AS (SELECT *, {_POLES.format("text")} AS p, {_NEUTRAL} AS neutral, lower(trim(
 z AS (SELECT *, list(p) OVER (PARTITION BY document_id, ids, neutral ORDER BY ordinal, claim_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM y),
 q AS (SELECT *, coalesce(len(p) > 0 AND len(list_filter(ps, lambda q: len(q) > 0)) > 0 AND len(list_filter(ps, lambda q: len(q) = 2)) = 0 AND NOT list_has_any(p, list_filter(ps, lambda q: len(q) > 0)[1]), false) AS against FROM z)
 SELECT claim_id, no, CASE WHEN bool_or(NOT against) OVER (PARTITION BY document_id, same, ids ORDER BY ordinal, claim_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate' WHEN against THEN 'contradiction' END AS sibling FROM q""",
+        "driver_validation": f"""WITH l AS ({documents_sql()["driver_links"]}), it AS ({documents_sql()["driver_items"]}), bk AS (SELECT document_id, list(DISTINCT block_id) AS known FROM blocks GROUP BY 1),
+c AS (SELECT DISTINCT ON (driver_id) * FROM drivers ORDER BY driver_id), v AS (SELECT c.driver_id, c.document_id, ordinal, driver AS text, list_filter(coalesce({ids.format("c.evidence_block_ids")}[1:100], []), lambda x: list_contains(known, x)) AS ids, l.link, l.supported, it.metrics, it.periods FROM c JOIN l USING (driver_id) JOIN it ON it.driver_id = c.driver_id LEFT JOIN bk ON bk.document_id = c.document_id),
+o AS (SELECT *, CASE WHEN NOT supported OR len(ids) = 0 THEN 'unsupported_driver_removed' WHEN link IS NULL THEN 'unsupported_causal_driver_removed' END AS first FROM v),
+y AS (SELECT *, {_POLES.format("text")} AS p, {_NEUTRAL} AS neutral, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS same FROM o WHERE first IS NULL),
+z AS (SELECT *, list(p) OVER (PARTITION BY document_id, metrics, periods, ids, neutral ORDER BY ordinal, driver_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM y),
+q AS (SELECT *, coalesce(len(p) > 0 AND len(list_filter(ps, lambda q: len(q) > 0)) > 0 AND len(list_filter(ps, lambda q: len(q) = 2)) = 0 AND NOT list_has_any(p, list_filter(ps, lambda q: len(q) > 0)[1]), false) AS against FROM z),
+k AS (SELECT driver_id, CASE WHEN bool_or(NOT against) OVER (PARTITION BY document_id, same, metrics, periods, ids ORDER BY ordinal, driver_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate_driver_removed' WHEN against THEN 'contradictory_driver_removed' END AS sib FROM q),
+f AS (SELECT o.*, coalesce(first, sib) AS problem FROM o LEFT JOIN k USING (driver_id))
+SELECT driver_id, problem, CASE WHEN problem IS NULL THEN link END AS link, CASE WHEN problem IS NULL THEN CASE WHEN link = 'explicit' AND metrics <> '' AND periods <> '' THEN 'high' WHEN link = 'explicit' OR metrics <> '' OR periods <> '' THEN 'medium' ELSE 'low' END END AS confidence, metrics, periods FROM f""",
         "warning_filter": f"""WITH w AS (SELECT revision_id, list_filter(list_concat(coalesce(warnings, []), [direction, unit, upper(direction), 'zero_old_value_no_relative_revision', extraction_method, CASE WHEN revision_id % 2 = 0 THEN 'consensus_unit_mismatch' END, direction]), lambda x: x IS NOT NULL) AS w FROM {_R}),
 u AS (SELECT revision_id, {ids.format("w")} AS w FROM w) SELECT revision_id, coalesce(array_to_string(list_filter(w, lambda x: regexp_matches(x, '^[a-z][a-z0-9_]{{0,79}}$')), '|'), '') AS codes, coalesce(array_to_string(list_filter(w, lambda x: x IN ('old_new_unit_mismatch', 'consensus_unit_mismatch', 'zero_old_value_no_relative_revision', 'stated_calculated_revision_mismatch', 'stated_calculated_percentage_point_mismatch', 'conflicting_candidates_same_metric_period')), '|'), '') AS material FROM u""",
         "safe_sources": r"""WITH p AS (SELECT DISTINCT unnest([source_filename, 'a/b/' || source_filename, '../' || source_filename, '/a/' || source_filename, 'a//' || source_filename, 'a/./' || source_filename, 'a\' || source_filename, upper(source_filename)]) AS path FROM blocks UNION SELECT path FROM documents)

@@ -81,3 +81,19 @@ def test_lookup(spark):
     assert C.lookup(c, "cit-" + "0" * 24).count() == 1 and C.lookup(c, "cit-" + "1" * 24).count() == 0
     with pytest.raises(ValueError):
         C.lookup(c, "cit-x")
+
+
+def test_drivers(spark):
+    blocks = spark.createDataFrame([("d", "b1", "Revenue rose in FY2026E due to higher prices for paper."), ("d", "b2", "We cut the target price because bond yields climbed."), ("d", "b3", None)], "document_id string, block_id string, text string")
+    revisions = spark.createDataFrame([("d", "revenue", "FY2026E"), ("d", "target_price", None)], "document_id string, metric string, fiscal_period string")
+    row = lambda i, t, link, cat, ids, ms=("revenue",), ps=("FY2026E",): ("d", i, i, t, link, cat, list(ms), list(ps), ids)
+    rows = [
+        row(1, "Higher prices for paper lift revenue", "explicit", "pricing", ["b1"]), row(2, "Revenue rose due to higher prices for paper", "explicit", "pricing", ["b1"]), row(3, "revenue  rose due to higher prices for paper", "explicit", "other", ["b1"]),
+        row(4, "Bond yields climbed", "explicit", "valuation only", ["b2"], ["target_price"], []), row(5, "Higher prices for paper", "explicit", "valuation only", ["b1"]), row(6, "Dragons ate the harvest", "explicit", "no such", ["b1"]), row(7, "Higher prices for paper", "inferred", "no such", ["b1", "zz"]),
+        row(8, "x", "explicit", None, None, [], []), row(9, None, "explicit", None, ["b3"]),
+    ]
+    schema = "document_id string, driver_id int, ordinal int, driver string, causal_link string, category string, impacted_metrics array<string>, fiscal_periods array<string>, evidence_block_ids array<string>"
+    got = {r.driver_id: (r.problem, r.link, r.category, r.confidence) for r in H.validated_drivers(spark.createDataFrame(rows, schema), revisions, blocks).collect()}
+    gone = "unsupported_driver_removed"
+    assert got[2] == (None, "explicit", "pricing", "high") and got[3][0] == "duplicate_driver_removed" and got[4][0] is None and got[5][0] == "valuation_only_driver_not_linked_to_target_price"
+    assert {got[i][0] for i in (1, 6, 8, 9)} == {gone} and got[7] == (None, "inferred", None, "medium"), got
