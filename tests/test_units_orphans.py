@@ -100,3 +100,16 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], f"{k} long, document_id string, evidence_block_ids array<string>, recorded_at timestamp").write.parquet(f"{tmp_path}/{t}.parquet")
     spark.createDataFrame([], "document_id string, block_id string, ingested_at timestamp, deleted_at timestamp").write.parquet(f"{tmp_path}/blocks.parquet")
     assert orphans_plan.p2_found(spark, str(tmp_path)).count() == 0
+
+
+def test_p1_empty_tables_and_long_texts(spark, tmp_path):
+    tables = {
+        "metric_units": "metric string, quantity string, common_unit string", "parsed_values": "value_id long, metric string, raw_text string, header_text string, value decimal(20,6), unit string",
+        "revisions": "revision_id long, document_id string, metric string, old_value decimal(20,6), new_value decimal(20,6), unit string, evidence array<struct<page_number:int,block_ids:array<string>>>, calculated_change_pp decimal(20,4)", "blocks": "document_id string, block_id string, text string",
+    }
+    for t, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert units_plan.p1_found(spark, str(tmp_path)).count() == 0 and units_plan.p1_flags(spark, str(tmp_path)).count() == 0
+    long = "from " + "words " * 50_000 + "to nothing, from EUR 1m to EUR 2m."
+    x = units_plan.printed_figures(spark.createDataFrame([("d", "b", long), ("d", "c", None)], tables["blocks"])).collect()
+    assert [(r.p_old, r.p_new) for r in x] == [(Decimal(1), Decimal(2))]
