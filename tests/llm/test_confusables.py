@@ -33,3 +33,9 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(None,)], "text string").write.parquet(f"{tmp_path}/blocks.parquet")
     got = {(r.record_table, r.record_id): r.plain_text for r in C.p5_found(spark, str(tmp_path)).collect()}
     assert got == {("words", 1): "a b", ("words", 5): "x" * 100_000, ("queries", 1): "AB LN"}
+
+
+def test_empty(spark, tmp_path):
+    for t, schema in {"words": "word_id long, text string", "queries": "query_id long, ticker string", "blocks": "text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert C.p5_found(spark, str(tmp_path)).count() == 0
