@@ -205,7 +205,7 @@ SELECT claim_id, no, CASE WHEN bool_or(NOT against) OVER (PARTITION BY document_
         "driver_validation": f"""WITH l AS ({documents_sql()["driver_links"]}), it AS ({documents_sql()["driver_items"]}), bk AS (SELECT document_id, list(DISTINCT block_id) AS known FROM blocks GROUP BY 1),
 c AS (SELECT DISTINCT ON (driver_id) * FROM drivers ORDER BY driver_id), v AS (SELECT c.driver_id, c.document_id, ordinal, driver AS text, list_filter(coalesce({ids.format("c.evidence_block_ids")}[1:100], []), lambda x: list_contains(known, x)) AS ids, l.link, l.supported, it.metrics, it.periods FROM c JOIN l USING (driver_id) JOIN it ON it.driver_id = c.driver_id LEFT JOIN bk ON bk.document_id = c.document_id),
 o AS (SELECT *, CASE WHEN NOT supported OR len(ids) = 0 THEN 'unsupported_driver_removed' WHEN link IS NULL THEN 'unsupported_causal_driver_removed' END AS first FROM v),
-y AS (SELECT *, {_POLES.format("text")} AS p, {_NEUTRAL} AS neutral, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS same FROM o WHERE first IS NULL),
+y AS (SELECT *, {_POLES.format("text")} AS p, {_NEUTRAL} AS neutral, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS same FROM o WHERE first IS NULL),
 z AS (SELECT *, list(p) OVER (PARTITION BY document_id, metrics, periods, ids, neutral ORDER BY ordinal, driver_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM y),
 q AS (SELECT *, coalesce(len(p) > 0 AND len(list_filter(ps, lambda q: len(q) > 0)) > 0 AND len(list_filter(ps, lambda q: len(q) = 2)) = 0 AND NOT list_has_any(p, list_filter(ps, lambda q: len(q) > 0)[1]), false) AS against FROM z),
 k AS (SELECT driver_id, CASE WHEN bool_or(NOT against) OVER (PARTITION BY document_id, same, metrics, periods, ids ORDER BY ordinal, driver_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'duplicate_driver_removed' WHEN against THEN 'contradictory_driver_removed' END AS sib FROM q),

@@ -300,7 +300,7 @@ SELECT citation_id, CASE WHEN bool_or(p IS NULL) THEN 'missing_block' WHEN bool_
         "driver_links": f"""WITH c AS (SELECT DISTINCT ON (driver_id) driver_id, document_id, driver AS said, causal_link, evidence_block_ids FROM drivers ORDER BY driver_id), x AS (SELECT driver_id, document_id, ids[i] AS block_id, i FROM (SELECT driver_id, document_id, list_filter(evidence_block_ids, lambda x, j: list_position(evidence_block_ids, x) = j)[1:100] AS ids FROM c), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)),
 e AS (SELECT driver_id, coalesce(string_agg(b.text, chr(10) ORDER BY i), '') AS evidence FROM x LEFT JOIN {_ALL} b USING (document_id, block_id) GROUP BY 1), t AS (SELECT c.*, coalesce(evidence, '') AS evidence FROM c LEFT JOIN e USING (driver_id)),
 u AS (SELECT *, {_tokens('said', True)} AS ct, {_tokens('evidence', False)} AS et, list_transform(regexp_extract_all(' ' || said, '[^A-Za-z]([-+]?[0-9]+(?:[.,][0-9]+)?%?)', 1), lambda z: replace(z, ',', '.')) AS cn, list_transform(regexp_extract_all(' ' || evidence, '[^A-Za-z]([-+]?[0-9]+(?:[.,][0-9]+)?%?)', 1), lambda z: replace(z, ',', '.')) AS en FROM t),
-se AS (SELECT driver_id, ct, unnest(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(evidence, '\s*\n\s*', ' ', 'g'), '(?i)\bvs\.', 'vs', 'g'), '(?i)\be\.g\.', 'eg', 'g'), '(?i)\bi\.e\.', 'ie', 'g'), '[.!?]\s+')) AS s FROM u),
+se AS (SELECT driver_id, ct, unnest(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(evidence, '\\s*\\n\\s*', ' ', 'g'), '(?i)\\bvs\\.', 'vs', 'g'), '(?i)\\be\\.g\\.', 'eg', 'g'), '(?i)\\bi\\.e\\.', 'ie', 'g'), '[.!?]\\s+')) AS s FROM u),
 sn AS (SELECT driver_id, bool_or(fits AND regexp_matches(s, '(?is)(?:{P.CAUSAL})')) AS e, bool_or(fits AND regexp_matches(s, '(?is)(?:{P.INFERRED})')) AS i FROM (SELECT *, len(list_intersect(ct, {_tokens('s', False)})) >= greatest(1, (len(ct) + 1) // 2) AS fits FROM se) GROUP BY 1)
 SELECT driver_id, causal_link AS stated_link, CASE WHEN causal_link = 'explicit' AND e THEN 'explicit' WHEN e OR i THEN 'inferred' END AS link, coalesce(length(said) > 0 AND list_has_all(en, cn) AND list_has_all(et, list_filter(ct, lambda w: w IN ('positive_effect', 'negative_effect'))) AND (len(ct) = 0 OR len(list_intersect(ct, et)) >= greatest(1, (len(ct) + 1) // 2)), false) AS supported FROM u LEFT JOIN sn USING (driver_id)""",
         "driver_items": f"""WITH c AS (SELECT DISTINCT ON (driver_id) * FROM drivers ORDER BY driver_id), x AS (SELECT driver_id, document_id, ids[i] AS block_id, i FROM (SELECT driver_id, document_id, list_filter(evidence_block_ids, lambda x, j: list_position(evidence_block_ids, x) = j)[1:100] AS ids FROM c), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i)),

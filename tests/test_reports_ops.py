@@ -157,9 +157,10 @@ def test_contacts_and_titles(spark):
     b = blocks(spark, (1, "A benign credit cycle for all of us"), (1, "Published 5 January 2026"), (1, "Anna Vorelli\nDirector, Foods\n+44 20 7946 0123\na.vorelli@quarn.example\nBruno Karst\nb.karst@quarn.example"), (1, None))
     got = {r.name: (r.email, r.phone) for r in K.contacts(b).collect()}
     assert got == {"Anna Vorelli": ("a.vorelli@quarn.example", "+44 20 7946 0123"), "Bruno Karst": ("b.karst@quarn.example", None)}
-    assert [tuple(r) for r in K.publication_dates(b).collect()] == [("d", "2026-01-05")] and K.titles(b).collect()[0].title.startswith("A benign")
+    pages = spark.createDataFrame([("d", 1, 1000.0)], "document_id string, page_number int, height double")
+    assert [(r.document_id, r.published) for r in K.publication_dates(b, pages).collect()] == [("d", "2026-01-05")] and K.titles(b.where("block_id < 'b2'"), pages).collect()[0].title.startswith("A benign")
     two = blocks(spark, (1, "5 January 2026 or 2026-01-06"))
-    assert K.publication_dates(two).collect() == []
+    assert K.publication_dates(two, pages).collect() == []
 
 
 def test_bars(spark):
