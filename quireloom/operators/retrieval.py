@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireloom.functions import text as X
+from quireloom.functions.columns import once
+from quireloom.session import cut
 
 STRONG, MARGIN = 80, 20  # fixed values: score of a strong match, least lead over the next
+ASK = ["ticker_key", "date_key", "broker_key"]  # what a request asks
+PACK = 256  # requests, and reports, in an array
 
 
 def catalog_of(files: DataFrame, name: str = "filename") -> DataFrame:
@@ -34,12 +38,11 @@ def shortlist(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return queries.where(F.col("ticker_key").isNotNull()).join(c, ["date_key", "broker_key"]).select("query_id", "ticker_key", "filename")
 
 
-def contains_ticker(tokens: Column, upper: Column, ticker: Column) -> Column:
-    """The two tokens side by side, or both run together in a line that looks like a list of identifiers."""
-    parts = F.split(ticker, " ")
-    pair = F.array_contains(F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1))), ticker)
-    whole = F.array_contains(F.split(upper, "[^A-Z0-9]+"), F.array_join(parts, ""))
-    return pair | (upper.rlike("[,/|():]") & whole)
+def line_tickers(tokens: Column, upper: Column) -> Column:
+    """The tickers in a line: two tokens side by side, or both run together in a line that looks like a list of identifiers."""
+    pair = F.transform(tokens, lambda t, i: F.when(F.length(F.get(tokens, i + 1)) == 2, F.concat_ws(" ", t, F.get(tokens, i + 1))))
+    whole = F.when(upper.rlike("[,/|():]"), F.transform(F.split(upper, "[^A-Z0-9]+"), lambda t: F.regexp_replace(t, "(..)$", " $1"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(pair, whole), lambda t: t.rlike("^[A-Z0-9]+ [A-Z]{2}$")))
 
 
 def is_label(line: Column, label: str) -> Column:
@@ -59,9 +62,10 @@ def labelled_lines(page_lines: DataFrame) -> DataFrame:
     """Lines that aren't blank, with tokens and whether a label stands on them or on one of the two lines before."""
     w = Window.partitionBy("filename", "page_number").orderBy("line_number")
     x = page_lines.where(F.trim("line") != "").withColumn("line", X.collapse(F.col("line")))
-    x = x.withColumns({"bloomberg": is_label(F.col("line"), "BLOOMBERG"), "ticker_label": is_label(F.col("line"), "TICKER"), "tokens": X.ticker_tokens(F.col("line")), "upper": F.upper(X.nfkd("line"))})
+    x = x.withColumns({"bloomberg": is_label(F.col("line"), "BLOOMBERG"), "ticker_label": is_label(F.col("line"), "TICKER")})
     near = w.rowsBetween(-2, 0)
-    return x.withColumns({"near_bloomberg": F.max("bloomberg").over(near), "near_ticker": F.max("ticker_label").over(near)})
+    x = x.withColumns({"near_bloomberg": F.max("bloomberg").over(near), "near_ticker": F.max("ticker_label").over(near)})
+    return once(once(x, "tokens", X.ticker_tokens(F.col("line"))), "upper", F.upper(X.nfkd("line")))
 
 
 def evidence_kind(page: Column, line_no: Column, line: Column, bloomberg: Column, ticker: Column) -> Column:
@@ -84,9 +88,47 @@ def confidence(score: Column) -> Column:
 
 def ticker_evidence(short: DataFrame, lines: DataFrame) -> DataFrame:
     """(query_id, filename, page_number, line_number, kind, score) of the shortlisted reports' first two pages."""
-    j = short.join(lines.where(F.col("page_number") <= 2), "filename").where(contains_ticker(F.col("tokens"), F.col("upper"), F.col("ticker_key")))
+    return _evidence(lines).join(short, ["filename", "ticker_key"]).select("query_id", "filename", "page_number", "line_number", "kind", "score")
+
+
+def _evidence(lines: DataFrame) -> DataFrame:
+    """(ticker_key, filename, page_number, line_number, kind, score) of all tickers in the first two pages."""
     k = evidence_kind(F.col("page_number"), F.col("line_number"), F.col("line"), F.col("near_bloomberg"), F.col("near_ticker"))
-    return j.select("query_id", "filename", "page_number", "line_number", k.alias("k")).select("query_id", "filename", "page_number", "line_number", "k.kind", "k.score")
+    x = lines.where(F.col("page_number") <= 2).withColumn("ticker_key", F.explode(line_tickers(F.col("tokens"), F.col("upper"))))
+    return x.select("ticker_key", "filename", "page_number", "line_number", k.alias("k")).select("ticker_key", "filename", "page_number", "line_number", "k.kind", "k.score")
+
+
+def asked_evidence(queries: DataFrame, catalog: DataFrame, lines: DataFrame) -> DataFrame:
+    """ASK and (filename, page_number, line_number, kind, score): ticker_evidence once for all requests that ask the same.
+
+    A report is met by as many requests as its source has reports of the day, but
+    its lines hold a few tickers only: this grows with the lines.
+    """
+    c = catalog.select("filename", F.col("file_date").alias("date_key"), "broker_key")
+    asks = cut(queries.select(*ASK).distinct())
+    e = _evidence(lines).join(cut(asks.select("ticker_key").distinct()), "ticker_key", "left_semi")  # most pairs of words are no ticker of a request
+    return e.join(c, "filename").join(asks, ASK).select(*ASK, "filename", "page_number", "line_number", "kind", "score")
+
+
+def packed(queries: DataFrame) -> DataFrame:
+    """ASK, part, query_ids: the requests that ask the same, by PACK in an array."""
+    w = Window.partitionBy(*ASK).orderBy("query_id")
+    q = queries.where(F.col("ticker_key").isNotNull() & F.col("date_key").isNotNull() & F.col("broker_key").isNotNull())
+    q = q.select("query_id", *ASK, F.floor((F.row_number().over(w) - 1) / PACK).cast("int").alias("part"))
+    return q.groupBy(*ASK, "part").agg(F.collect_list("query_id").alias("query_ids"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in the session's number of tasks: its rows are few and short, but many come of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def of_each(asked: DataFrame, queries: DataFrame) -> DataFrame:
+    """asked, rows with ASK, for each request: query_id instead of ASK. A common ticker's rows are joined by parts of its requests."""
+    p = packed(queries)
+    n = p.groupBy(*ASK).agg(F.max("part").alias("n"))
+    a = asked.join(n, ASK).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n")))).drop("n")
+    return spread(a, *ASK, "part").join(p, [*ASK, "part"]).withColumn("query_id", F.explode("query_ids")).drop(*ASK, "part", "query_ids")
 
 
 def candidates(short: DataFrame, evidence: DataFrame, errors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quireloom.functions import text as X
 from quireloom.operators import retrieval as R
-from quireloom.session import table
+from quireloom.session import cut, table
 from quireloom.sources.reports import live_blocks, page_lines
 
 TICKER = r"(?:Bloomberg|BLOOMBERG|Ticker|TICKER):?\s+([A-Z]{2,5} [A-Z]{2})\b"
@@ -32,19 +32,31 @@ def made(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     source (3), and the report has its first page second (4), no text (5), one
     ticker with others (6 to 9) or the ticker deep in a page only (a, b).
     """
+    b = _made_blocks(spark, d)
+    return b.drop("x", "t"), _made_requests(live_blocks(b))
+
+
+def _made_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of made, with the last digit of the digest (x) and the ticker that a first page prints (t)."""
     name, x = F.col("source_filename"), F.regexp_extract("source_filename", r"([0-9a-f])\.pdf$", 1)
     day = F.concat(F.substring(name, 1, 4), F.lit("0101"), F.expr("substring(source_filename, 9)"))
     b = table(spark, d, "blocks").withColumn("source_filename", F.when(name.rlike(r"^\d{8}_"), day).otherwise(name))
     t = F.when(F.col("page_number") == 1, F.regexp_extract("text", TICKER, 1)).otherwise("")
     b = b.withColumns({"x": x, "t": t})
+    x = F.col("x")
     deep = F.concat(F.repeat(F.lit("filler\n"), F.lit(30)), F.lit("Peer "), F.col("t"), F.lit(" moved"))
     text = F.when(x == "5", F.lit(None)).when((F.col("t") != "") & x.between("6", "9"), F.replace("text", "t", F.lit("TIE US"))).when((F.col("t") != "") & x.isin("a", "b"), deep).otherwise(F.col("text"))
-    out = b.withColumns({"text": text, "page_number": F.when((x == "4") & (F.col("page_number") <= 2), 3 - F.col("page_number")).otherwise(F.col("page_number"))}).drop("x", "t")
-    seen = live_blocks(b).where(F.col("t") != "").select("source_filename", "t", "x").distinct()
+    return b.withColumns({"text": text, "page_number": F.when((x == "4") & (F.col("page_number") <= 2), 3 - F.col("page_number")).otherwise(F.col("page_number"))})
+
+
+def _made_requests(live: DataFrame) -> DataFrame:
+    """The requests of made, from its live blocks."""
+    name, x = F.col("source_filename"), F.col("x")
+    seen = live.where(F.col("t") != "").select("source_filename", "t", "x").distinct()
     ticker = F.when(x == "0", "XQX US").when(x == "1", "AB").when(x.between("6", "9"), "TIE US").otherwise(F.col("t"))
     date = F.concat(F.when(x == "2", "1999").otherwise(F.substring(name, 1, 4)), F.lit("-01-01"))
     broker = F.when(x == "3", "--").otherwise(F.regexp_extract("source_filename", r"^[^_]*_(.+)_[^_]*$", 1))
-    return out, seen.select(F.concat_ws("|", name, "t").alias("query_id"), ticker.alias("ticker"), date.alias("query_date"), broker.alias("broker"))
+    return seen.select(F.concat_ws("|", name, "t").alias("query_id"), ticker.alias("ticker"), date.alias("query_date"), broker.alias("broker"))
 
 
 def _parts(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
@@ -68,6 +80,20 @@ def _candidates(spark: SparkSession, d: str, given: Input = recorded):  # noqa:
     return q, R.candidates(short, ev, pages.where("n = 0"))
 
 
+def _asked(spark: SparkSession, d: str):  # noqa: ANN202
+    """The made requests, the catalog and the evidence of what is asked.
+
+    The live blocks are written once for the three. They are dealt by document,
+    then by file, so that each text is shuffled twice and next to its neighbours.
+    """
+    b = _made_blocks(spark, d).repartition("document_id")
+    b = b.withColumn("text", F.when(F.col("page_number") <= 2, F.col("text")))
+    live = cut(live_blocks(b).select("document_id", "block_id", "source_filename", "page_number", "block_order", "text", "x", "t"))
+    q, catalog = cut(R.normalized_queries(_made_requests(live))), cut(R.catalog_of(live, "source_filename"))
+    lines = page_lines(live.repartition("source_filename"), pages=2).select("filename", "page_number", "line_number", "line")
+    return q, catalog, cut(R.asked_evidence(q, catalog, R.labelled_lines(lines)))
+
+
 def catalog_filename_parse(spark: SparkSession, d: str) -> DataFrame:
     return R.catalog_of(table(spark, d, "blocks"), "source_filename")
 
@@ -110,7 +136,8 @@ def made_shortlist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def made_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d, made)[2]
+    q, _, ev = _asked(spark, d)
+    return R.of_each(ev, q).select("query_id", "filename", "page_number", "line_number", "kind", "score")
 
 
 def made_rank_margin(spark: SparkSession, d: str) -> DataFrame:
