@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireloom.functions import text as X
-from quireloom.functions.columns import once
+from quireloom.functions.columns import let, once
 from quireloom.session import cut
 
 STRONG, MARGIN = 80, 20  # fixed values: score of a strong match, least lead over the next
@@ -134,18 +134,66 @@ def of_each(asked: DataFrame, queries: DataFrame) -> DataFrame:
 def candidates(short: DataFrame, evidence: DataFrame, errors: DataFrame) -> DataFrame:
     """Per request and report: score after page 1 and after page 2, the best evidence, and whether reading failed."""
     best = evidence.groupBy("query_id", "filename").agg(F.max(F.when(F.col("page_number") == 1, F.col("score"))).alias("s1"), F.max("score").alias("s2"), F.min_by("kind", F.struct(-F.col("score"), "page_number", "line_number")).alias("kind"))
-    err = errors.groupBy("filename").agg(F.max(F.col("page_number") == 1).alias("e1"), F.lit(True).alias("e2"))
-    c = short.join(best, ["query_id", "filename"], "left").join(err, "filename", "left")
+    c = short.join(best, ["query_id", "filename"], "left").join(_failed(errors), "filename", "left")
     z = lambda c, d: F.coalesce(c, F.lit(d))
     return c.select("query_id", "filename", z("s1", 0).alias("s1"), z("s2", 0).alias("s2"), z("e1", False).alias("e1"), z("e2", False).alias("e2"), "kind")
 
 
+def _failed(errors: DataFrame) -> DataFrame:
+    """filename, e1, e2: reading failed on page 1, and on page 1 or 2."""
+    return errors.groupBy("filename").agg(F.max(F.col("page_number") == 1).alias("e1"), F.lit(True).alias("e2"))
+
+
 def ranked(c: DataFrame) -> DataFrame:
     """Candidates with their rank and the lead over the next one."""
     w = Window.partitionBy("query_id").orderBy(F.desc("s2"), "e2", F.lower("filename"), "filename")
     return c.withColumns({"rank": F.row_number().over(w), "lead": F.col("s2") - F.coalesce(F.lead("s2").over(w), F.lit(0)), "confidence": confidence(F.col("s2"))})
 
 
+def readable(catalog: DataFrame, errors: DataFrame) -> DataFrame:
+    """The reports (date_key, broker_key, filename) with e1, e2 and their place, from 0, among those of their source and day without evidence."""
+    w = Window.partitionBy("date_key", "broker_key").orderBy("e2", F.lower("filename"), "filename")
+    c = catalog.select(F.col("file_date").alias("date_key"), "broker_key", "filename").join(_failed(errors), "filename", "left")
+    c = c.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("e1", "e2")})
+    return cut(c.withColumn("pos", F.row_number().over(w) - 1))
+
+
+def ranked_of_each(queries: DataFrame, reports: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, filename, score, rank, lead, confidence): ranked, for all reports that readable has and all requests.
+
+    Each request is ranked against each report of its source and day, so the
+    result grows with the product. Up to the last step there are only requests
+    that ask the same together, with PACK reports together: the marks are the
+    reports with evidence, the others keep their order behind them.
+    """
+    s = evidence.groupBy(*ASK, "filename").agg(F.max("score").alias("score")).join(reports.select("filename", "pos"), "filename")
+    w = Window.partitionBy(*ASK).orderBy(F.desc("score"), "pos")
+    s = s.withColumns({"rank": F.row_number().over(w), "lead": F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0))})
+    mark = F.struct((F.col("pos") % PACK).alias("at"), "score", "rank", "lead")
+    marks = s.groupBy(*ASK, F.floor(F.col("pos") / PACK).cast("int").alias("slice")).agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    files = reports.groupBy("date_key", "broker_key", F.floor(F.col("pos") / PACK).cast("int").alias("slice")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "filename"))), lambda x: x["filename"]).alias("files"))
+    slices = files.groupBy("date_key", "broker_key").agg(F.collect_list("slice").alias("slices"))
+
+    asks = queries.select(*ASK).distinct().join(slices, ["date_key", "broker_key"]).select(*ASK, F.explode("slices").alias("slice"))
+    a = asks.join(marks, [*ASK, "slice"], "left").withColumn("marks", F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType)))
+    every = Window.partitionBy(*ASK)
+    # How far behind its place a report without evidence is ranked, if it stands before all marks of its slice.
+    a = a.withColumn("behind", F.sum(F.size("marks")).over(every) - F.coalesce(F.sum(F.size("marks")).over(every.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    a = spread(a.join(packed(queries), ASK), "date_key", "broker_key", "slice").join(files, ["date_key", "broker_key", "slice"])
+
+    row = lambda f, score, rank, lead: F.struct(f.alias("filename"), score.cast("int").alias("score"), rank.cast("int").alias("rank"), lead.cast("int").alias("lead"))
+    seen = F.transform("marks", lambda m: row(F.get("files", m["at"]), m["score"], m["rank"], m["lead"]))
+
+    def unseen(i: Column) -> Column:
+        """The rows between two marks."""
+        lo, hi = F.coalesce(F.get("marks", i - 1)["at"] + 1, F.lit(0)), F.coalesce(F.get("marks", i)["at"], F.size("files"))
+        return let(F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i")), lambda g: F.transform(F.slice("files", g["lo"] + 1, g["hi"] - g["lo"]), lambda f, j: row(f, F.lit(0), F.col("slice") * PACK + g["lo"] + j + 1 + F.col("behind") - g["i"], F.lit(0))))
+
+    rows = F.concat(seen, F.flatten(F.transform(F.sequence(F.lit(0), F.size("marks")), unseen)))
+    out = a.select("query_ids", F.explode(rows).alias("r")).select(F.explode("query_ids").alias("query_id"), "r.filename", "r.score", "r.rank", "r.lead")
+    return out.withColumn("confidence", confidence(F.col("score")))
+
+
 def resolve(queries: DataFrame, c: DataFrame) -> DataFrame:
     """(query_id, status, reason, filename): one row per request.
 

@@ -75,9 +75,13 @@ def _evidence(spark: SparkSession, d: str, given: Input = recorded):  # noqa: AN
 
 def _candidates(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
     q, short, ev = _evidence(spark, d, given)
-    # A report one of whose first pages has only null texts can't be read there.
-    pages = given(spark, d)[0].where(F.col("page_number") <= 2).groupBy(F.col("source_filename").alias("filename"), "page_number").agg(F.count("text").alias("n"))
-    return q, R.candidates(short, ev, pages.where("n = 0"))
+    return q, R.candidates(short, ev, _unread(given(spark, d)[0]))
+
+
+def _unread(blocks: DataFrame) -> DataFrame:
+    """A report one of whose first pages has only null texts can't be read there."""
+    pages = blocks.where(F.col("page_number") <= 2).groupBy(F.col("source_filename").alias("filename"), "page_number").agg(F.count("text").alias("n"))
+    return pages.where("n = 0")
 
 
 def _asked(spark: SparkSession, d: str):  # noqa: ANN202
@@ -141,7 +145,8 @@ def made_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def made_rank_margin(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked(_candidates(spark, d, made)[1]).select("query_id", "filename", F.col("s2").alias("score"), "rank", "lead", "confidence")
+    q, catalog, ev = _asked(spark, d)
+    return R.ranked_of_each(q, R.readable(catalog, _unread(_made_blocks(spark, d))), ev)
 
 
 def made_status(spark: SparkSession, d: str) -> DataFrame:
