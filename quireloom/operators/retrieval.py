@@ -215,3 +215,21 @@ def resolve(queries: DataFrame, c: DataFrame) -> DataFrame:
         status, reason = F.when(F.coalesce(cond, F.lit(False)), s).otherwise(status), F.when(F.coalesce(cond, F.lit(False)), r).otherwise(reason)
     d = d.select("query_id", status.alias("status"), reason.alias("reason"), "f1", "f2")
     return d.select("query_id", "status", "reason", F.when(F.col("reason") == "page_1_match", F.col("f1")).when(F.col("reason") == "page_2_match", F.col("f2")).alias("filename"))
+
+
+def resolve_asked(queries: DataFrame, reports: DataFrame, evidence: DataFrame) -> DataFrame:
+    """resolve once for all requests that ask the same; a query_id must ask one thing only.
+
+    The reports of a source and day without evidence stand as one: they count
+    only in whether there is one and whether one can't be read.
+    """
+    named = lambda df: df.withColumn("ask", F.to_json(F.struct(*ASK)))
+    best = evidence.groupBy(*ASK, "filename").agg(F.max(F.when(F.col("page_number") == 1, F.col("score"))).alias("s1"), F.max("score").alias("s2"))
+    z = F.lit(0)
+    best = named(best).select(F.col("ask").alias("query_id"), "filename", F.coalesce("s1", z).alias("s1"), "s2", F.lit(False).alias("e1"), F.lit(False).alias("e2"))
+    q = named(queries)
+    asks = q.select(F.col("ask").alias("query_id"), *ASK).distinct()
+    rest = reports.groupBy("date_key", "broker_key").agg(F.max("e1").alias("e1"), F.max("e2").alias("e2"))
+    rest = asks.where(F.col("ticker_key").isNotNull()).join(rest, ["date_key", "broker_key"]).select("query_id", F.lit(None).cast("string").alias("filename"), z.alias("s1"), z.alias("s2"), "e1", "e2")
+    r = resolve(asks, best.unionByName(rest)).withColumnRenamed("query_id", "ask")
+    return q.select("query_id", "ask").join(r, "ask").drop("ask")

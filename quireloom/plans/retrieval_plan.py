@@ -67,15 +67,15 @@ def _parts(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN20
     return blocks, catalog, q, R.shortlist(q, catalog)
 
 
-def _evidence(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
-    blocks, _, q, short = _parts(spark, d, given)
+def _evidence(spark: SparkSession, d: str):  # noqa: ANN202
+    blocks, _, q, short = _parts(spark, d)
     lines = page_lines(blocks, pages=2).join(short.select("filename").distinct(), "filename", "left_semi")
     return q, short, R.ticker_evidence(short, R.labelled_lines(lines.select("filename", "page_number", "line_number", "line")))
 
 
-def _candidates(spark: SparkSession, d: str, given: Input = recorded):  # noqa: ANN202
-    q, short, ev = _evidence(spark, d, given)
-    return q, R.candidates(short, ev, _unread(given(spark, d)[0]))
+def _candidates(spark: SparkSession, d: str):  # noqa: ANN202
+    q, short, ev = _evidence(spark, d)
+    return q, R.candidates(short, ev, _unread(table(spark, d, "blocks")))
 
 
 def _unread(blocks: DataFrame) -> DataFrame:
@@ -150,7 +150,8 @@ def made_rank_margin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def made_status(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolve(*_candidates(spark, d, made))
+    q, catalog, ev = _asked(spark, d)
+    return R.resolve_asked(q, R.readable(catalog, _unread(_made_blocks(spark, d))), ev)
 
 
 def page_range_prune(spark: SparkSession, d: str) -> DataFrame:

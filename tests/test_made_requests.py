@@ -40,7 +40,7 @@ def joined(df) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["made_evidence", "made_rank_margin"])
+@pytest.mark.parametrize("name", ["made_evidence", "made_rank_margin", "made_status"])
 def test_crowd(spark, crowd, monkeypatch, name):
     monkeypatch.setattr(R, "PACK", 5, raising=False)
     got, want, extra, missing = compare(spark, E.queries()[name], E.oracle_sql()[name], crowd)
